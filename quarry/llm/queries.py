@@ -10,8 +10,10 @@ from .bpe import op9_byte_bpe
 from .classifier import op4_quality_classifier
 from .edit_counts import op1_token_counts
 from .knn import op5_exact_topk
+from .minhash import op7_minhash_neardup
 from .packing import op3_best_fit_packing
 from .rules import op8_quality_rules
+from .suffixes import op10_suffix_dedup
 from .toxicity import op6_toxicity
 from .warc import op2_warc_revisits
 
@@ -22,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_topk": op5_exact_topk,
     "op6_toxicity": op6_toxicity,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
