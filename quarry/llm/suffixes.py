@@ -39,6 +39,8 @@ HALF_AFTER = SPAN - HALF_BEFORE + 1
 SHALLOW = 2
 #: Rows of one anchor that are compared at once.
 CHUNK_ROWS = 100_000
+#: Suffix rows of one anchor beyond which it is dealt to more lanes.
+LANE_ROWS = 1000
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -271,18 +273,22 @@ def suffix_rows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Cover rows from suffixes that equal a suffix of a smaller document."""
-    lanes = 4  # suffixes of one anchor are dealt by their place, so a common anchor is several groups
-    dealt = rows.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane", "doc_id")
+    # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood.
+    lanes = rows.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n")).where(F.col("_n") > LANE_ROWS)
+    lanes = lanes.select("_a", F.least(F.lit(WINDOW), F.ceil(F.col("_n") / LANE_ROWS)).cast("int").alias("_lanes"))
+    wide = rows.join(lanes, F.col("anchor") == F.col("_a"), "left").withColumn("_lanes", F.coalesce("_lanes", F.lit(1))).drop("_a")
+    spread = wide.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
+    dealt = spread.repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane", "doc_id")
 
     def covers(t: pa.Table) -> pa.RecordBatch | None:
-        anchor, doc, place, lane = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "place", "_lane"))
+        anchor, doc, place, lane, lanes = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "place", "_lane", "_lanes"))
         around = t.column("around").to_pylist()
         size = np.fromiter(map(len, around), np.int64, len(around))
         before = np.minimum(place, BEFORE)
         buffer = np.zeros((len(around), AROUND + 8), np.uint8)
         for k, x in enumerate(around):
             buffer[k, BEFORE - before[k] : BEFORE - before[k] + len(x)] = np.frombuffer(x, np.uint8)
-        row, back = np.nonzero((np.arange(WINDOW)[None] <= before[:, None]) & (size[:, None] - before[:, None] + np.arange(WINDOW)[None] >= SPAN) & (np.arange(WINDOW)[None] % lanes == lane[:, None]))
+        row, back = np.nonzero((np.arange(WINDOW)[None] <= before[:, None]) & (size[:, None] - before[:, None] + np.arange(WINDOW)[None] >= SPAN) & (np.arange(WINDOW)[None] % lanes[:, None] == lane[:, None]))
         if not len(row):
             return None
         flat = buffer.ravel()
@@ -331,7 +337,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     first = written(compared(scanned(docs)), "spans")
     release(spark)
     wanted = first.where("anchor IS NOT NULL").select("anchor", "doc_id", "start")
-    second = written(ordered(suffix_rows(wanted, docs)), "spans")
+    second = written(ordered(written(suffix_rows(wanted, docs), "suffixes")), "spans")
     release(spark)
     return first.where("anchor IS NULL").select("doc_id", "start", "stop").union(second)
 
