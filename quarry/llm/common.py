@@ -16,7 +16,12 @@ BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of very long texts fits a Python worker."""
+    """Session settings that the operators rely on.
+
+    Arrow batches are bounded in rows, so that a batch of very long texts fits a Python worker. Shuffle files go when
+    the job that made them ends: each step's result is a written table, so nothing reads them later.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
