@@ -98,13 +98,7 @@ def entity_rewrites(query: Column) -> Column:
 
 
 def page_problem(title: Column, text: Column) -> Column:
-    """'unverified', 'rejected' or null for a page by its title and by repeated eight-word spans."""
+    """'unverified', 'rejected' or null for a short page by its title."""
     name = F.regexp_replace(F.lower(F.regexp_replace(F.trim(title), r"\s+", " ")), "^[ .!…]+|[ .!…]+$", "")
     short = F.length(F.trim(text)) < 2000
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    spans = F.when(F.size(words) >= 160, F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, F.lit(8)), " ")))
-    sorted_ = F.array_sort(spans)
-    # In sorted order a span is its text's fourth or later exactly if the third before it is equal.
-    extra = F.size(F.filter(F.sequence(F.lit(4), F.size(sorted_)), lambda i: F.element_at(sorted_, i) == F.element_at(sorted_, i - 3)))
-    stuffed = F.coalesce(F.when(F.size(spans) > 3, extra * 100 >= F.size(spans) * 80), F.lit(False))
-    return F.when(short & name.isin(CHECK_TITLES), "unverified").when((short & name.isin(PARKED_TITLES)) | stuffed, "rejected")
+    return F.when(short & name.isin(CHECK_TITLES), "unverified").when(short & name.isin(PARKED_TITLES), "rejected")

@@ -62,6 +62,17 @@ def flagged(rows: DataFrame, terms: list[str], hosts: list[str], tlds: list[str]
     return rows.withColumns({"n_terms": n, "by_host": by_host}).withColumn("flagged", F.col("by_host") | (F.col("n_terms") >= least))
 
 
+def stuffed(docs: DataFrame, span: int = 8, often: int = 3, least_words: int = 160, percent: int = 80) -> DataFrame:
+    """Documents most of whose word spans are occurrences beyond the third. Spans are counted in a shuffle, so the
+    work grows with the words, not with their square."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    d = docs.select("doc_id", words.alias("_w")).where(F.size("_w") >= least_words)
+    at = d.select("doc_id", "_w", (F.size("_w") - span + 1).alias("_n"), F.explode(F.sequence(F.lit(1), F.size("_w") - span + 1)).alias("_i"))
+    rows = at.select("doc_id", "_n", F.array_join(F.slice("_w", F.col("_i"), F.lit(span)), " ").alias("_s"))
+    extra = rows.groupBy("doc_id", "_n", "_s").agg(F.greatest(F.count("*") - often, F.lit(0)).alias("_x"))
+    return extra.groupBy("doc_id", "_n").agg(F.sum("_x").alias("_x")).where(F.col("_x") * 100 >= F.col("_n") * percent).select("doc_id")
+
+
 def under_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Hosts equal to or below any suffix: their own suffixes are spelled out and joined, no pairwise test."""
     labels = F.split("host", r"\.")

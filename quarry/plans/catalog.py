@@ -377,8 +377,7 @@ def purge_domain_hosts(t):
     c AS (SELECT doc_id, any_value(n) AS n, span, greatest(count(*) - 3, 0) AS extra FROM s GROUP BY doc_id, span)
     SELECT doc_id FROM c GROUP BY doc_id HAVING sum(extra) * 100 >= any_value(n) * 80""")
 def repetition_filter(t):
-    d = docs(t)
-    return d.where(T.page_problem(F.lit(""), F.col("text")) == "rejected").select("doc_id")
+    return C.stuffed(t.documents)
 
 
 @query(r"""SELECT page_id, CASE WHEN octet_length(encode(trim(url))) > 2048 THEN 'too long' WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'scheme' WHEN regexp_matches(trim(url), '^[a-zA-Z]+://[^/?#]*@') THEN 'credentials'
@@ -451,7 +450,7 @@ def date_sort_nulls_last(t):
     i AS (SELECT *, coalesce(least(greatest((epoch_us(TIMESTAMP '1998-08-02') - epoch_us(changed_at)) / 86400000000.0 / 2, 7.0), 365.0), 7.0) AS i FROM d)
     SELECT doc_id, round(i, 6)::DOUBLE AS interval_days FROM i WHERE (epoch_us(TIMESTAMP '1998-08-02') - epoch_us(fetched_at)) / 86400000000.0 >= i""")
 def refresh_due(t):
-    d = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("fetched_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") - F.expr("INTERVAL 40 DAY")).alias("changed_at"))
+    d = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 40 DAY")).alias("changed_at"))
     return O.refresh_due(d, F.lit("1998-08-02").cast("timestamp"), 7.0, 365.0)
 
 
