@@ -223,7 +223,7 @@ def pack(cut: DataFrame, cap: Capacity = Capacity(), buckets: int | None = None)
     def run(b: pa.RecordBatch) -> dict:
         p = places.value
         length, rank = b.column(at["length"]).to_numpy(), b.column(at["_rank"]).to_numpy()
-        base = int(p[:, 1].max()) + 1
+        base = int((p[:, 1] + p[:, 2]).max()) + 1
         k = np.searchsorted(p[:, 0].astype(object) * base + p[:, 1] if base > 1 << 50 else p[:, 0] * base + p[:, 1], length * base + rank, side="right") - 1
         row = p[k]
         within = rank - row[:, 1]
