@@ -5,7 +5,7 @@ stands for it. Of BANDS x ROWS minima each class keeps one hash per band and the
 give a collision-corrected similarity by counting equal bit groups, and pairs that may reach the threshold are confirmed on
 full sets. Pairs are never spelled out within a group: first each class is held against the least of its group, then
 components are formed, and only groups that still hold several components are searched, members outside a group's
-main component against its members, in blocks of bounded size that emit likely pairs alone.
+main component against its members, in blocks of bounded size that emit likely pairs alone, by longer signatures.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^24 = 3e-6, a component through one link only.
 
@@ -33,14 +33,17 @@ BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
 #: Estimates this far below the threshold are still confirmed: five standard deviations of HASHES minima.
 MARGIN = 0.2
+#: Minima in the longer signatures of classes whose groups are searched, the first HASHES being the same, and the
+#: margin of their estimates (four and a half standard deviations).
+FINE_HASHES, FINE_MARGIN = 768, 0.07
 BLOCK = 2048
 
 _rng = np.random.default_rng(20240501)
 BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-MULTIPLY = _rng.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
-FLIP = _rng.integers(0, 1 << 32, HASHES, np.uint32)
+MULTIPLY = _rng.integers(1, 1 << 31, FINE_HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _rng.integers(0, 1 << 32, FINE_HASHES, np.uint32)
 
 
 @functools.lru_cache(maxsize=4)
@@ -76,13 +79,13 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(mixed((sums[last] - sums[first]) * down[first] + np.uint64(len(tokens) if len(tokens) < words else words)))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """HASHES minima of a non-empty set."""
+def minima(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """That many minima of a non-empty set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    best = np.full(hashes, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), 1024):
-        h = x[a : a + 1024, None] ^ FLIP
-        h *= MULTIPLY
+        h = x[a : a + 1024, None] ^ FLIP[:hashes]
+        h *= MULTIPLY[:hashes]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         np.minimum(best, h.min(axis=0), out=best)
@@ -104,15 +107,15 @@ def signature(m: np.ndarray) -> bytes:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of packed signatures (…, HASHES / 2 bytes), corrected for chance collisions."""
+    """Estimated similarity of packed signatures (two minima a byte), corrected for chance collisions."""
     x = a ^ b
     equal = ((x & 15) == 0).sum(axis=-1) + ((x >> 4) == 0).sum(axis=-1)
     chance = 1 / (1 << BITS)
-    return (equal / HASHES - chance) / (1 - chance)
+    return (equal / (2 * x.shape[-1]) - chance) / (1 - chance)
 
 
 def stacked(cells: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), HASHES // 2)
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -137,6 +140,17 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
+def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and FINE_HASHES packed minima of the documents in ids (doc_id)."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets = [shingles(t, words) for t in strings(b.column(1))]
+        return {"doc_id": b.column(0), "sig": [signature(minima(s, FINE_HASHES)) if len(s) else bytes(FINE_HASHES // 2) for s in sets]}
+
+    d = docs.select(F.col("doc_id").cast("long"), "text").join(ids.distinct(), "doc_id", "left_semi")
+    return per_batch(d, run, "doc_id long, sig binary")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough. Only the texts that occur in pairs are moved on."""
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
@@ -210,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     cells = rest.select("band", "doc_id", "comp", "first", minor.alias("_minor"), (salt % blocks).alias("_i"), (salt % minor_blocks).alias("_j"), blocks.alias("_bs"), minor_blocks.alias("_ms"))
     as_any = cells.select("band", "doc_id", "comp", "first", "_i", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1)).alias("_j"), F.lit(False).alias("_asks"))
     as_minor = cells.where("_minor").select("band", "doc_id", "comp", "first", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1)).alias("_i"), "_j", F.lit(True).alias("_asks"))
-    dealt = as_any.union(as_minor).join(sigs, "doc_id")
+    fine = written(fine_signatures(docs, rest.select("doc_id"), words), "fine").dropDuplicates(["doc_id"])
+    dealt = as_any.union(as_minor).join(fine, "doc_id")
+    coarse, fine_least = HASHES // 2, percent / 100 - FINE_MARGIN
 
     def search(t: pa.Table) -> pa.Table:
         asks = t.column("_asks").to_numpy(zero_copy_only=False)
@@ -222,7 +238,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             pick = all_[(comp[all_] != comp[q]) & (ids[all_] != head[all_])]
             if ids[q] == head[q] or not len(pick):
                 continue
-            pick = pick[similarity(sig[q][None], sig[pick]) >= least]
+            pick = pick[similarity(sig[q][None, :coarse], sig[pick, :coarse]) >= least]
+            pick = pick[similarity(sig[q][None], sig[pick]) >= fine_least]
             a.append(np.maximum(ids[pick], ids[q]))
             b.append(np.minimum(ids[pick], ids[q]))
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
