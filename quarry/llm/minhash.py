@@ -225,13 +225,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     as_any = cells.select("band", "doc_id", "comp", "first", "_i", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1)).alias("_j"), F.lit(False).alias("_asks"))
     as_minor = cells.where("_minor").select("band", "doc_id", "comp", "first", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1)).alias("_i"), "_j", F.lit(True).alias("_asks"))
     fine = written(fine_signatures(docs, rest.select("doc_id"), words), "fine").dropDuplicates(["doc_id"])
-    dealt = as_any.union(as_minor).join(fine, "doc_id")
+    dealt = as_any.union(as_minor).join(fine.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id"), "doc_id")
     coarse, fine_least = HASHES // 2, percent / 100 - FINE_MARGIN
 
     def search(t: pa.Table) -> pa.Table:
         asks = t.column("_asks").to_numpy(zero_copy_only=False)
         ids, comp, head = (t.column(c).to_numpy() for c in ("doc_id", "comp", "first"))
         sig = stacked(t.column("sig").to_pylist())
+        bands, here = np.array(t.column("bands").to_pylist(), np.int64), t.column("band")[0].as_py()
         who, all_ = np.flatnonzero(asks), np.flatnonzero(~asks)
         a, b = [], []
         for q in who:
@@ -240,6 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 continue
             pick = pick[similarity(sig[q][None, :coarse], sig[pick, :coarse]) >= least]
             pick = pick[similarity(sig[q][None], sig[pick]) >= fine_least]
+            if len(pick):  # a pair is told by the first band that it shares, once
+                pick = pick[bands[q][(bands[q][None] == bands[pick]).argmax(axis=1)] == here]
             a.append(np.maximum(ids[pick], ids[q]))
             b.append(np.minimum(ids[pick], ids[q]))
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
