@@ -141,22 +141,19 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and FINE_HASHES packed minima of the documents in ids (doc_id)."""
+    """doc_id and FINE_HASHES packed minima of the documents in ids (doc_id). docs: doc_id, text."""
 
     def run(b: pa.RecordBatch) -> dict:
         sets = [shingles(t, words) for t in strings(b.column(1))]
         return {"doc_id": b.column(0), "sig": [signature(minima(s, FINE_HASHES)) if len(s) else bytes(FINE_HASHES // 2) for s in sets]}
 
-    d = docs.select(F.col("doc_id").cast("long"), "text").join(ids.distinct(), "doc_id", "left_semi")
-    return per_batch(d, run, "doc_id long, sig binary")
+    return per_batch(docs.join(ids.distinct(), "doc_id", "left_semi"), run, "doc_id long, sig binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Only the texts that occur in pairs are moved on."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(ids, "_id", "left_semi"), "texts")
-    left = texts.select(F.col("_id").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("_id").alias("b"), F.col("text").alias("_y"))
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough. texts: doc_id and text of all that occur in pairs."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
 
     def run(b: pa.RecordBatch) -> dict:
@@ -207,7 +204,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sigs = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
     sa, sb = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     star = written(hits.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "star")
-    links = confirmed(written(likely(star.join(sa, "a").join(sb, "b"), least), "likely"), docs, words, percent)
+    # Whole texts are dealt once: later steps read only those that share a band with another class.
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = written(whole.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    release(spark)
+    links = confirmed(written(likely(star.join(sa, "a").join(sb, "b"), least), "likely"), texts, words, percent)
     release(spark)
     # Groups that still hold several components.
     label = components(links)
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     cells = rest.select("band", "doc_id", "comp", "first", minor.alias("_minor"), (salt % blocks).alias("_i"), (salt % minor_blocks).alias("_j"), blocks.alias("_bs"), minor_blocks.alias("_ms"))
     as_any = cells.select("band", "doc_id", "comp", "first", "_i", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1)).alias("_j"), F.lit(False).alias("_asks"))
     as_minor = cells.where("_minor").select("band", "doc_id", "comp", "first", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1)).alias("_i"), "_j", F.lit(True).alias("_asks"))
-    fine = written(fine_signatures(docs, rest.select("doc_id"), words), "fine").dropDuplicates(["doc_id"])
+    fine = written(fine_signatures(texts, rest.select("doc_id"), words), "fine").dropDuplicates(["doc_id"])
     dealt = as_any.union(as_minor).join(fine.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id"), "doc_id")
     coarse, fine_least = HASHES // 2, percent / 100 - FINE_MARGIN
 
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     found = written(dealt.groupBy("band", "_i", "_j").applyInArrow(search, "a long, b long").distinct(), "residual")
     if not found.isEmpty():
-        links = links.union(confirmed(found, docs, words, percent))
+        links = links.union(confirmed(found, texts, words, percent))
         label = components(links)
     release(spark)
     of = written(label.select(F.col("node").alias("rep"), "component"), "components")
