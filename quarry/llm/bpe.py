@@ -21,6 +21,7 @@ import base64
 import functools
 import hashlib
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,8 @@ from .common import per_batch, prepare, strings, table
 CACHE_ENTRIES = 450_000
 #: Pre-tokens up to this many bytes are reduced as one block: a row of neighbours joined by rank.
 LEAF_BYTES = 24
-
+#: Lengths of tokens too short to be looked up by their first three bytes.
+SHORT = (2, 1)
 
 #: Above every rank.
 NEVER = 1 << 30
@@ -49,6 +51,23 @@ def packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+class Cache(dict):
+    """A function's values by string, in two generations: a full young one becomes the old one, from which strings
+    that are still in use come back. Long strings are not kept."""
+
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES // 2, longest: int = 64):
+        self.make, self.entries, self.longest, self.old = make, entries, longest, {}
+
+    def __missing__(self, key: str):
+        found = self.old[key] if key in self.old else self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class BPE:
     """Vocabulary, with encoding by tree reduction and bounded caches."""
 
@@ -59,14 +78,16 @@ class BPE:
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.longest: dict[bytes, int] = {}  # of tokens that begin with these three bytes
+        by_start: dict[bytes, set[int]] = {}
         for b in self.ranks:
-            if len(b) > 2 and self.longest.get(b[:3], 0) < len(b):
-                self.longest[b[:3]] = len(b)
+            if len(b) > 2:
+                by_start.setdefault(b[:3], set()).add(len(b))
+        #: Lengths of the tokens that begin with these three bytes, longest first, then those of any other start.
+        self.sizes = {b: (*sorted(n, reverse=True), *SHORT) for b, n in by_start.items()}
         self.findall = regex.compile(pattern).findall
         self.stable: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes | None] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.pretokens, self.words, self.firsts = Cache(self.pretoken), Cache(self.word), Cache(self.pieces)
+        self.segments = Cache(self.segment)
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by definition: the neighbours of the lowest rank join first, the left-most of equals."""
@@ -90,33 +111,33 @@ class BPE:
         """The encoding of a short string: its one row of tokens in which all neighbours are settled, found from the
         left by the longest token that is settled with the one before. A place once given up is not tried again,
         for the bytes before it have no second such row."""
-        ranks, stable, longest, n = self.ranks.get, self.stable.get, self.longest.get, len(data)
+        ranks, stable, sizes, n = self.ranks.get, self.stable.get, self.sizes.get, len(data)
         tokens: list[int] = []
         starts: list[int] = []
         given_up: set[int] = set()
-        i, size, last = 0, longest(data[:3], 2), -1
+        i, most, last = 0, n, -1
         while i < n:
-            while size:
-                t = ranks(data[i : i + size])
-                if t is not None:
-                    good = stable((last, t))
-                    if (good or good is None and self.settled(last, t)) and not (given_up and i + size in given_up):
-                        break
-                size -= 1
-            if size:
-                tokens.append(t)
-                starts.append(i)
-                last = t
-                i = min(n, i + size)
-                size = longest(data[i : i + 3], 2)
+            for size in sizes(data[i : i + 3], SHORT):
+                if size <= most:
+                    t = ranks(data[i : i + size])
+                    if t is not None:
+                        good = stable((last, t))
+                        if (good or good is None and self.settled(last, t)) and not (given_up and i + size in given_up):
+                            break
             else:
                 if not tokens:
                     return self.merged(data)
                 given_up.add(i)
                 tokens.pop()
                 at = starts.pop()
-                i, size = at, i - at - 1
+                i, most = at, i - at - 1
                 last = tokens[-1] if tokens else -1
+                continue
+            tokens.append(t)
+            starts.append(i)
+            last = t
+            i += size
+            most = n - i
         return tokens
 
     def settled(self, a: int, b: int) -> bool:
@@ -157,53 +178,38 @@ class BPE:
         mid = len(data) // 2
         return self.join(self.piece(data[:mid]), self.piece(data[mid:]))
 
+    def pretoken(self, text: str) -> tuple[int, ...]:
+        data = text.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(data)
+        return tuple(self.piece(data)) if whole is None else (whole,)
+
     def pieces(self, text: str) -> bytes:
         """Ids of a text split by the pattern, as little-endian unsigned 32-bit integers."""
         ids: list[int] = []
         for p in (text,) if text.isalpha() or text[:1] == " " and text[1:].isalpha() else self.findall(text):
-            data = p.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            if whole is None:
-                ids += self.piece(data)
-            else:
-                ids.append(whole)
+            ids += self.pretokens[p]
         return packed(ids)
 
     def word(self, word: str) -> bytes | None:
         """Ids of a space and a word; None if white space at its ends forbids to cut here."""
-        if len(self.words) >= CACHE_ENTRIES:
-            self.words.clear()
-        found = None if not word or word[0].isspace() or word[-1].isspace() else self.pieces(" " + word)
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
+        return None if not word or word[0].isspace() or word[-1].isspace() else self.pieces(" " + word)
+
+    def segment(self, word: str) -> tuple[str, int, int]:
+        """A space and a word, its bytes and its tokens."""
+        return self.measured(" " + word)
+
+    def measured(self, text: str) -> tuple[str, int, int]:
+        return text, len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")), len(self.pieces(text)) // 4
 
     def word_list(self, text: str) -> list[bytes]:
         """Ids of a text in parts that concatenate to the whole."""
         if not text:
             return []
         words = text.split(" ")
-        first = words[0]
-        if not first or first[0].isspace() or first[-1].isspace():
+        if not words[0] or words[0][0].isspace() or words[0][-1].isspace():
             return [self.pieces(text)]
-        get, out = self.words.get, []
-        if len(first) > 64:
-            out.append(self.pieces(first))
-        else:
-            head = self.firsts.get(first)
-            if head is None:
-                if len(self.firsts) >= CACHE_ENTRIES:
-                    self.firsts.clear()
-                head = self.firsts[first] = self.pieces(first)
-            out.append(head)
-        for w in words[1:]:
-            ids = get(w)
-            if ids is None:
-                ids = self.word(w)
-                if ids is None:
-                    return [self.pieces(text)]
-            out.append(ids)
-        return out
+        out = [self.firsts[words[0]], *map(self.words.__getitem__, words[1:])]
+        return [self.pieces(text)] if None in out else out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.word_list(text)), "<u4")

@@ -81,8 +81,10 @@ class CountedText:
         between two other characters."""
         if not text:
             return []
-        parts, out, cache = text.split(" "), [], self.v.words
-        held = parts[0]
+        parts, segments = text.split(" "), self.v.segments
+        if "" not in parts and list(map(str.strip, parts)) == parts:
+            return [self.v.measured(parts[0]), *map(segments.__getitem__, parts[1:])]
+        out, held = [], parts[0]
         ends_white = not held or held[-1].isspace()
         for w in parts[1:]:
             if ends_white or not w or w[0].isspace():
@@ -93,17 +95,7 @@ class CountedText:
             held = " " + w
             ends_white = w[-1].isspace()
         out.append(held)
-        leaves = []
-        for s in out:
-            ids = cache.get(s[1:]) if s[0] == " " else None
-            if ids is None:
-                ids = self.v.pieces(s)
-                if s[0] == " " and 1 < len(s) <= 64 and not s[1].isspace() and not s[-1].isspace():
-                    if len(cache) >= 250_000:
-                        cache.clear()
-                    cache[s[1:]] = ids
-            leaves.append((s, len(s.encode("utf-8", "surrogatepass")) if not s.isascii() else len(s), len(ids) // 4))
-        return leaves
+        return [segments[s[1:]] if s[0] == " " else self.v.measured(s) for s in out]
 
     def edit(self, at: int, removed: int, inserted: str) -> None:
         total = self.tree.n_bytes()
