@@ -2,8 +2,8 @@
 
 Words written with look-alike signs, separators, spacing or repeated letters are restored by a Viterbi search over a
 lattice of characters: each sign may stand for some letters or for none, a run of one letter for one or two of it, and
-letters that stand alone in a row for a word. The channel's costs and a character trigram model, whose counts come from
-every document, choose the best readings. A document is then scored by a logistic model over restored words and word
+letters that stand alone in a row for words whose ends the search chooses too. The channel's costs and a character
+trigram model, whose counts come from every document, choose the best readings. A document is then scored by a logistic model over restored words and word
 beginnings, learned from labelled rows.
 
 Nulls: a null text is an empty one; an empty text gets the score of a text without any known word. Without labelled
@@ -38,6 +38,7 @@ LOOKALIKE = {
     "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z", "*": "aeiou", "%": "",
 }
 COST_SIGN, COST_WILD, COST_DROP, COST_DROP_SIGN, COST_SHORTEN = 1.0, 2.5, 0.3, 9.0, 0.7
+COST_WIDE, MARGIN, REACH, SETTLE = 4.0, 5.0, 100, 4096
 FOLD = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 #: Classes of the character model: a word's edge, 26 letters, any other letter.
@@ -130,10 +131,111 @@ class Restorer:
         end = sorted(((v + lp[(p * N_CLASSES + q) * N_CLASSES], t) for (p, q), held in beams.items() for v, t in held), key=lambda r: -r[0])
         return list(dict.fromkeys(t for _, t in end))[:best]
 
+    def spaced(self, text: str) -> list[list[tuple[str, float]]]:
+        """The lattice of letters that stand alone: a word may end between any two. A gap wider than the narrowest one
+        speaks for an end; a run of one letter over like gaps stands for one or two of it, or for an end between them."""
+        letters = LETTER.findall(text)
+        gaps = [len(g) for g in GAP.findall(text)]
+        narrow = min(gaps)
+        wide = [g > narrow for g in gaps]
+        out: list[list[tuple[str, float]]] = []
+        k, n = 0, len(letters)
+        while k < n:
+            run = 1
+            while k + run < n and letters[k + run] == letters[k] and not wide[k + run - 1]:
+                run += 1
+            reads = self.lattice(letters[k] * run)[0]
+            if run > 1:
+                reads = [*reads, *[(f"{y} {y}", c) for y, c in self.lattice(letters[k])[0] if y]]
+            out.append(reads)
+            k += run
+            if k < n:
+                out.append([("", COST_WIDE), (" ", 0.0)] if wide[k - 1] else [("", 0.0), (" ", 0.0)])
+        return out
+
+    def segments(self, lattice: list[list[tuple[str, float]]]) -> set[str]:
+        """Every word of the readings that cost at most MARGIN more than the best one, where a space in a choice ends a
+        word. Nothing before an end bears on what follows, so forward and backward scores of ends are enough; they are
+        settled every SETTLE steps, and the work grows with the length alone. A word spans at most REACH possible ends."""
+        lp, ends, edges = self.lp, [0.0], []
+        live: dict[tuple[int, int, int], list[tuple[float, tuple | None]]] = {(0, 0, 0): [(0.0, None)]}
+        out: set[str] = set()
+
+        def step(p: int, q: int, put: str, s: float) -> tuple[int, int, float]:
+            for ch in put:
+                c = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                s += lp[(p * N_CLASSES + q) * N_CLASSES + c]
+                p, q = q, c
+            return p, q, s
+
+        def close(cost: float, first: str) -> bool:
+            """A new end after `first`; whether any word can end there."""
+            found = []
+            for (start, p, q), held in live.items():
+                p, q, s = step(p, q, first, -cost)
+                s += lp[(p * N_CLASSES + q) * N_CLASSES]
+                found.extend((v + s, start, (t, first) if first else t) for v, t in held if t or first)
+            if not found:
+                return False
+            best = max(f[0] for f in found)
+            edges.extend((start, len(ends), v - ends[start], t) for v, start, t in found if v >= best - MARGIN)
+            ends.append(best)
+            return True
+
+        def settle(after: dict[int, float], before: int) -> list[tuple]:
+            """Takes the words that end before an end; the rest is kept. after: best scores from ends onwards."""
+            best = max(ends[k] + v for k, v in after.items())
+            for start, end, v, t in reversed(edges):
+                if end in after:
+                    onwards = v + after[end]
+                    after[start] = max(after.get(start, -np.inf), onwards)
+                    if end < before and ends[start] + onwards >= best - MARGIN:
+                        out.add(spelled(t))
+            return [e for e in edges if e[1] >= before]
+
+        for at, choices in enumerate(lattice, 1):
+            new: dict[tuple[int, int, int], list[tuple[float, tuple | None]]] = {}
+            for put, cost in choices:
+                if " " in put:
+                    first, rest = put.split(" ")
+                    if close(cost, first):
+                        p, q, s = step(0, 0, rest, ends[-1])
+                        new[len(ends) - 1, p, q] = [(s, (None, rest) if rest else None)]
+                    continue
+                for (start, p, q), held in live.items():
+                    p, q, s = step(p, q, put, -cost)
+                    new.setdefault((start, p, q), []).extend((v + s, (t, put) if put else t) for v, t in held)
+            least = max(v for held in new.values() for v, _ in held) - MARGIN
+            live = {}
+            for k, held in new.items():
+                if k[0] >= len(ends) - REACH and (held := [h for h in held if h[0] >= least]):
+                    live[k] = sorted(held, key=lambda r: -r[0])[:READINGS]
+            if at % SETTLE == 0:
+                after: dict[int, float] = {}
+                for (start, _, _), held in live.items():
+                    after[start] = max(after.get(start, -np.inf), held[0][0] - ends[start])
+                edges = settle(after, len(ends) - 2 * REACH)
+        after = {start: held[0][0] - ends[start] for (start, _, _), held in live.items() if held[0][1] is None}
+        if close(0.0, ""):
+            after[len(ends) - 1] = 0.0
+        if after:
+            settle(after, len(ends))
+        return out
+
+
+def spelled(chain: tuple | None) -> str:
+    """The text of a chain of pieces, the last of which is outermost."""
+    out = []
+    while chain:
+        chain, put = chain
+        out.append(put)
+    return "".join(reversed(out))
+
 
 EDGES = ".,;:?\"'()[]{}<>&%#*!-_~^/\\|`"
 RUN3 = re.compile(r"([^\W\d_])\1\1")
 ALONE = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*]+(?:[^\W_]|[@$!|+])){3,}(?!\S)")
+LETTER, GAP = re.compile(r"[^ .\-_*]"), re.compile(r"[ .\-_*]+")
 
 
 class Reader:
@@ -171,9 +273,8 @@ class Reader:
             found = get(w)
             out.update(self.word(w) if found is None else found)
         for m in ALONE.finditer(low):
-            joined = re.sub(r"[ .\-_*]+", "", m.group())
-            if len(joined) <= MAX_WORD:
-                out.update(self.restore.read(joined.translate(FOLD)))
+            if any(x.isalpha() for x in m.group()):
+                out.update(self.restore.segments(self.restore.spaced(m.group().translate(FOLD))))
         return out
 
 

@@ -220,6 +220,23 @@ def test_toxicity_restores_and_scores(spark, docs):
     assert toxicity.score(docs, m).count() == docs.count()
 
 
+def test_toxicity_finds_words_in_spaced_runs():
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randint(1, 3))) for _ in range(n)]
+    text = " ".join(" ".join(words(40)) + " you are an idiot and a clown " for _ in range(100))
+    x = toxicity.CLASS[np.frombuffer(f"  {text}  ".encode(), np.uint8)]
+    n = toxicity.N_CLASSES
+    lm = toxicity.log_model(np.bincount((x[:-2] * n + x[1:-1]) * n + x[2:], minlength=n**3))
+    read = lambda t: toxicity.Reader(lm).words(t)
+    assert "idiot" in read("a i d i o t")
+    assert {"you", "are", "an", "idiot"} <= read("y o u a r e a n i d i o t")
+    assert {"you", "are", "an", "idiot"} <= read("y o u  a r e  a n  i d i o t")
+    for size in (20, 1500):  # both runs are over 40 letters, one goes over several settlements
+        before, after = words(size), words(size)
+        assert {"idiot", "clown"} <= read(" ".join("".join([*before, "1d10t", "clown", *after])))
+    assert read("1 2 3 4 5 6") == set()
+
+
 def test_pipeline_keeps_columns(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
