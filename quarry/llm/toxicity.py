@@ -3,12 +3,13 @@
 Words written with look-alike signs, separators, spacing or repeated letters are restored by a Viterbi search over a
 lattice of characters: each sign may stand for some letters or for none, a run of one letter for one or two of it, and
 letters that stand alone in a row for words whose ends the search chooses too. The channel's costs and a character
-trigram model, whose counts come from every document, choose the best readings. A document is then scored by a logistic model over restored words and word
+trigram model, whose counts come from every document, choose the best readings. Signs within a word may also part
+words, so the parts are read beside the whole. A document is then scored by a logistic model over restored words and word
 beginnings, learned from labelled rows.
 
 Nulls: a null text is an empty one; an empty text gets the score of a text without any known word. Without labelled
-rows the score is 0.5, with one class only that class's share. Very long texts are scored as a whole; words over
-MAX_WORD characters are read as they stand. Ties between readings go to the earlier one. Empty tables give empty results; repeated rows are scored one by one; extra columns are ignored.
+rows the score is 0.5, with one class only that class's share. Very long texts and words are read and scored
+as a whole. Ties between readings go to the earlier one. Empty tables give empty results; repeated rows are scored one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ from .common import held_out, labelled_sample, per_batch, prepare, strings, tabl
 SAMPLE_ROWS = 5000
 MAX_FEATURES = 1500
 THRESHOLD = 0.5
-MAX_WORD = 40
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHED_CHARS = 300_000, 1000
 READINGS = 3
 
 #: Look-alike signs (fixed values).
@@ -89,8 +89,8 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.lp = model.reshape(-1).tolist()
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """Per position the strings it may stand for, with their costs."""
+    def lattice(self, word: str, ends: bool = False) -> list[list[tuple[str, float]]]:
+        """Per position the strings it may stand for, with their costs; with `ends`, a sign may end a word too."""
         out: list[list[tuple[str, float]]] = []
         k, n = 0, len(word)
         while k < n:
@@ -111,14 +111,16 @@ class Restorer:
                     out.append([*[(y, c + COST_SHORTEN) for y, c in reads], *[(y + y, c + COST_SHORTEN) for y, c in reads], ("", drop)])
                 else:
                     out.append([*reads, ("", drop)])
+                if ends:
+                    out[-1].append((" ", COST_DROP_SIGN if x.isalnum() else COST_SIGN if x in LOOKALIKE else COST_DROP))
             k += run
         return out
 
     def read(self, word: str, best: int = READINGS) -> list[str]:
         """The likeliest readings, best first."""
-        lp, beams = self.lp, {(0, 0): [(0.0, "")]}
+        lp, beams = self.lp, {(0, 0): [(0.0, None)]}
         for choices in self.lattice(word):
-            new: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            new: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
             for (a, b), held in beams.items():
                 for put, cost in choices:
                     p, q, s = a, b, -cost
@@ -126,10 +128,15 @@ class Restorer:
                         c = ord(ch) - 96 if "a" <= ch <= "z" else 27
                         s += lp[(p * N_CLASSES + q) * N_CLASSES + c]
                         p, q = q, c
-                    new.setdefault((p, q), []).extend((v + s, t + put) for v, t in held)
+                    new.setdefault((p, q), []).extend((v + s, (t, put) if put else t) for v, t in held)
             beams = {k: sorted(v, key=lambda r: -r[0])[:best] for k, v in new.items()}
         end = sorted(((v + lp[(p * N_CLASSES + q) * N_CLASSES], t) for (p, q), held in beams.items() for v, t in held), key=lambda r: -r[0])
-        return list(dict.fromkeys(t for _, t in end))[:best]
+        out: dict[str, None] = {}
+        for _, t in end:
+            if len(out) == best:
+                break
+            out[spelled(t)] = None
+        return list(out)
 
     def spaced(self, text: str) -> list[list[tuple[str, float]]]:
         """The lattice of letters that stand alone: a word may end between any two. A gap wider than the narrowest one
@@ -156,7 +163,7 @@ class Restorer:
     def segments(self, lattice: list[list[tuple[str, float]]]) -> set[str]:
         """Every word of the readings that cost at most MARGIN more than the best one, where a space in a choice ends a
         word. Nothing before an end bears on what follows, so forward and backward scores of ends are enough; they are
-        settled every SETTLE steps, and the work grows with the length alone. A word spans at most REACH possible ends."""
+        settled every SETTLE steps, and the work grows with the length alone. At most REACH beginnings of the word at hand are kept, the latest ones."""
         lp, ends, edges = self.lp, [0.0], []
         live: dict[tuple[int, int, int], list[tuple[float, tuple | None]]] = {(0, 0, 0): [(0.0, None)]}
         out: set[str] = set()
@@ -208,8 +215,11 @@ class Restorer:
             least = max(v for held in new.values() for v, _ in held) - MARGIN
             live = {}
             for k, held in new.items():
-                if k[0] >= len(ends) - REACH and (held := [h for h in held if h[0] >= least]):
+                if held := [h for h in held if h[0] >= least]:
                     live[k] = sorted(held, key=lambda r: -r[0])[:READINGS]
+            if len(starts := {k[0] for k in live}) > REACH:
+                oldest = sorted(starts)[-REACH]
+                live = {k: held for k, held in live.items() if k[0] >= oldest}
             if at % SETTLE == 0:
                 after: dict[int, float] = {}
                 for (start, _, _), held in live.items():
@@ -233,6 +243,8 @@ def spelled(chain: tuple | None) -> str:
 
 
 EDGES = ".,;:?\"'()[]{}<>&%#*!-_~^/\\|`"
+#: Letters between signs; one alone beside a sign is no word, but what a look-alike leaves of one.
+PLAIN = re.compile(r"[^\W\d_]{2,}")
 RUN3 = re.compile(r"([^\W\d_])\1\1")
 ALONE = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*]+(?:[^\W_]|[@$!|+])){3,}(?!\S)")
 LETTER, GAP = re.compile(r"[^ .\-_*]"), re.compile(r"[ .\-_*]+")
@@ -249,20 +261,22 @@ class Reader:
         """Readings of one lower-case word; none if it holds no letter."""
         core = w.strip(EDGES)
         if core.isalpha():
-            if RUN3.search(core) and len(core) <= MAX_WORD:
+            if RUN3.search(core):
                 found = tuple(self.restore.read(core.translate(FOLD)))
             else:
                 found = (core,)
-        elif not any(x.isalpha() for x in core) or len(core) > MAX_WORD:
+        elif not any(x.isalpha() for x in core):
             found = ()
         else:
-            whole = w.rstrip(EDGES).lstrip(".,;:?\"'()[]{}<>&%#*-_~^/\\`")
-            found = tuple(x for x in self.restore.read(whole.translate(FOLD)) if x)
+            whole = w.rstrip(EDGES).lstrip(".,;:?\"'()[]{}<>&%#*-_~^/\\`").translate(FOLD)
+            parts = {*self.restore.segments(self.restore.lattice(whole, True)), *PLAIN.findall(core)}
+            found = tuple(x for x in dict.fromkeys([*self.restore.read(whole), *sorted(parts)]) if x)
         if w[:1] in "!|" and core.isalpha():
             found += tuple(x for x in self.restore.read(w.rstrip(EDGES).translate(FOLD)) if x)[:1]
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache[w] = found
+        if len(w) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.cache.clear()
+            self.cache[w] = found
         return found
 
     def words(self, text: str) -> set[str]:
@@ -304,9 +318,11 @@ class ToxicityModel:
         for w in self.reader.words(text):
             found = get(w)
             if found is None:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                found = self.known[w] = frozenset(f for f in features_of({w}) if f in weights)
+                found = frozenset(f for f in features_of({w}) if f in weights)
+                if len(w) <= CACHED_CHARS:
+                    if len(self.known) >= CACHE_ENTRIES:
+                        self.known.clear()
+                    self.known[w] = found
             if found:
                 hits |= found
         z = self.offset + sum(weights[h] for h in sorted(hits))

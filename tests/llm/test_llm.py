@@ -235,6 +235,12 @@ def test_toxicity_finds_words_in_spaced_runs():
         before, after = words(size), words(size)
         assert {"idiot", "clown"} <= read(" ".join("".join([*before, "1d10t", "clown", *after])))
     assert read("1 2 3 4 5 6") == set()
+    for t in ("so,idiot", "you/idiot", "<b>idiot</b>", "you/1d10t", "idiot|an", "an+1d1ot", "st.clown.idiot." + "an.the/" * 20 + "x"):
+        assert "idiot" in read(t), t
+    assert {"idiot", "clown"} <= read("then-1d10t-" + "-".join(words(30)) + "-cl0wn")
+    assert {"idiot"} <= read("i" * 60 + "diot")
+    assert "idiot" in read("i" + "." * 20 + "d" + "-" * 20 + "iot")
+    assert "idiot" in read("ther.on," * 1000 + "a1b2" * 500 + ",1d10t")
 
 
 def test_pipeline_keeps_columns(spark):
