@@ -84,6 +84,16 @@ def excerpt(text: Column, most: int) -> Column:
 # Question forms and the words that replace them, the most specific first.
 ENTITY_FORMS = [
     (r"^who (?:created|invented|founded|built|developed|designed|made|started) (?:the )?(.+?)\??$", ["creator inventor founder", "history origin", "developer designer"]),
+    (r"^who (?:wrote|authored|composed) (?:the )?(.+?)\??$", ["author writer", "book novel publication"]),
+    (r"^who (?:discovered) (.+?)\??$", ["discoverer", "discovery history"]),
+    (r"^who is (?:the )?(.+?)\??$", ["biography", "about"]),
+    (r"^when (?:was|did|were) (?:the )?(.+?)(?: (?:created|invented|founded|born|happen|happened|occur|land|landed))?\??$", ["date year", "history origin"]),
+    (r"^where is (?:the )?(.+?)\??$", ["location address country"]),
+    (r"^how tall is (?:the )?(.+?)\??$", ["height meters feet", "tall"]),
+    (r"^how (?:big|large|long|wide|deep|high) is (?:the )?(.+?)\??$", ["size dimensions", "length width"]),
+    (r"^what is the capital of (.+?)\??$", ["capital city"]),
+    (r"^what is the (?:largest|biggest|longest|tallest|shortest) (.+?)\??$", ["superlative record"]),
+    (r"^what is the population of (.+?)\??$", ["population inhabitants census"]),
 ]
 
 
@@ -92,7 +102,7 @@ def entity_rewrites(query: Column) -> Column:
     q = F.lower(F.trim(query))
     out = F.array().cast("array<string>")
     for form, tails in reversed(ENTITY_FORMS):
-        entity = F.regexp_replace(F.trim(F.regexp_extract(q, form, 1)), r"[.,;:!?]+$", "")
+        entity = F.regexp_replace(F.trim(F.regexp_extract(q, form, 1)), r"[ \t.!?]+$", "")
         out = F.when(entity != "", F.array(*[F.concat(entity, F.lit(" " + t)) for t in tails])).otherwise(out)
     return out
 

@@ -269,6 +269,36 @@ def entity_rewrite(t):
     return t.conversations.select("conv_id", "turn", F.explode(T.entity_rewrites(q)).alias("rewrite"))
 
 
+#: What stands before and after the word asked about, at least once for each form.
+ASKED = [
+    ("Who built ", "?"), ("who wrote the ", "?"), ("who discovered ", ""), ("who is the ", "?"), ("when was the ", " invented?"), ("when did ", ""),
+    ("where is ", "?"), ("how tall is the ", "?"), ("how deep is ", "?"), ("what is the capital of ", "?"), ("what is the longest ", "!"), ("what is the population of ", "?"), ("why is ", "?"),
+]
+
+
+@query(rf"""WITH asked(head, tail) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in ASKED)}),
+    q AS (SELECT conv_id, turn, lower(head || regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1) || tail) AS q, row_number() OVER () AS r FROM conversations, asked),
+    form(n, re, tails) AS (VALUES
+        (1, '^who (?:created|invented|founded|built|developed|designed|made|started) (?:the )?(.+?)\??$', ['creator inventor founder', 'history origin', 'developer designer']),
+        (2, '^who (?:wrote|authored|composed) (?:the )?(.+?)\??$', ['author writer', 'book novel publication']),
+        (3, '^who (?:discovered) (.+?)\??$', ['discoverer', 'discovery history']),
+        (4, '^who is (?:the )?(.+?)\??$', ['biography', 'about']),
+        (5, '^when (?:was|did|were) (?:the )?(.+?)(?: (?:created|invented|founded|born|happen|happened|occur|land|landed))?\??$', ['date year', 'history origin']),
+        (6, '^where is (?:the )?(.+?)\??$', ['location address country']),
+        (7, '^how tall is (?:the )?(.+?)\??$', ['height meters feet', 'tall']),
+        (8, '^how (?:big|large|long|wide|deep|high) is (?:the )?(.+?)\??$', ['size dimensions', 'length width']),
+        (9, '^what is the capital of (.+?)\??$', ['capital city']),
+        (10, '^what is the (?:largest|biggest|longest|tallest|shortest) (.+?)\??$', ['superlative record']),
+        (11, '^what is the population of (.+?)\??$', ['population inhabitants census'])),
+    e AS (SELECT conv_id, turn, r, n, tails, rtrim(trim(regexp_extract(trim(q), re, 1)), ' .!?') AS e FROM q, form),
+    f AS (SELECT * FROM e WHERE e <> '' QUALIFY row_number() OVER (PARTITION BY r ORDER BY n) = 1)
+    SELECT conv_id, turn, e || ' ' || unnest(tails) AS rewrite FROM f""")
+def entity_rewrite_forms(t):
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "([A-Za-z]+)", 1)
+    q = F.explode(F.array(*[F.concat(F.lit(a), word, F.lit(b)) for a, b in ASKED])).alias("q")
+    return t.conversations.select("conv_id", "turn", q).select("conv_id", "turn", F.explode(T.entity_rewrites(F.col("q"))).alias("rewrite"))
+
+
 # --- evaluation
 
 RELEVANT = "rel AS (SELECT q.vec_id AS query_id, p.vec_id AS doc_id FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id)"

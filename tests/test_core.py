@@ -79,3 +79,22 @@ def test_lane_shares(spark):
 def test_registered_queries_have_unique_sql():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_entity_rewrites_know_every_form(spark):
+    asked = {
+        "Who created the Linux kernel?": ["linux kernel creator inventor founder", "linux kernel history origin", "linux kernel developer designer"],
+        "who wrote 1984?": ["1984 author writer", "1984 book novel publication"],
+        "who discovered radium": ["radium discoverer", "radium discovery history"],
+        "who is the pope?": ["pope biography", "pope about"],
+        "when was Bitcoin invented?": ["bitcoin date year", "bitcoin history origin"],
+        "where is Oslo?": ["oslo location address country"],
+        "How tall is Mount Everest?": ["mount everest height meters feet", "mount everest tall"],
+        "how long is the nile?": ["nile size dimensions", "nile length width"],
+        "What is the capital of Australia?": ["australia capital city"],
+        "what is the longest river in the world!": ["river in the world superlative record"],
+        "what is the population of Peru ?": ["peru population inhabitants census"],
+        "why is the sky blue?": [],
+    }
+    rows = spark.createDataFrame([(q,) for q in asked], ["q"]).select("q", text.entity_rewrites(F.col("q")).alias("x")).collect()
+    assert {r["q"]: r["x"] for r in rows} == asked
