@@ -96,7 +96,7 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def fetched(wanted: DataFrame, docs: DataFrame, chars: int) -> DataFrame:
-    """Requested ids in order, with the head of their text, missing ones marked."""
-    d = docs.select(F.col("doc_id").alias("_d"), F.substring("text", 1, chars).alias("text"))
+def fetched(wanted: DataFrame, docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """Requested ids in order, with their whole text or its first `chars` characters, missing ones marked."""
+    d = docs.select(F.col("doc_id").alias("_d"), (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("text"))
     return wanted.join(d, F.col("doc_id") == F.col("_d"), "left").select("position", "doc_id", F.col("_d").isNotNull().alias("found"), "text")

@@ -100,6 +100,12 @@ def contents_lookup(t):
     return C.fetched(wanted, t.documents, 100)
 
 
+@query("SELECT row_number() OVER (ORDER BY b.item_id DESC)::INT AS position, b.item_id * 3 AS doc_id, d.doc_id IS NOT NULL AS found, d.text AS text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3")
+def contents_whole(t):
+    wanted = t.benchmark.select(F.row_number().over(Window.orderBy(F.desc("item_id"))).alias("position"), (F.col("item_id") * 3).alias("doc_id"))
+    return C.fetched(wanted, t.documents)
+
+
 # --- index
 
 

@@ -98,3 +98,10 @@ def test_entity_rewrites_know_every_form(spark):
     }
     rows = spark.createDataFrame([(q,) for q in asked], ["q"]).select("q", text.entity_rewrites(F.col("q")).alias("x")).collect()
     assert {r["q"]: r["x"] for r in rows} == asked
+
+
+def test_fetched_returns_whole_texts(spark):
+    wanted = spark.createDataFrame([(1, 7), (2, 9)], "position int, doc_id long")
+    docs = spark.createDataFrame([(7, "ab " * 500)], "doc_id long, text string")
+    assert [tuple(r) for r in corpus.fetched(wanted, docs).orderBy("position").collect()] == [(1, 7, True, "ab " * 500), (2, 9, False, None)]
+    assert corpus.fetched(wanted, docs, 5).orderBy("position").first()["text"] == "ab ab"
