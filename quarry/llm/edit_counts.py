@@ -1,12 +1,12 @@
-"""Edit-aware token counts: a segment tree over pre-tokens per document.
+"""Edit-aware token counts: sums in blocks over pre-tokens per document.
 
-The leaves of a tree hold the token counts of segments (a word with the space before it), the nodes sums of bytes and
-tokens. An edit replaces a byte range: only the segments it touches and one on either side are split and encoded
+The leaves hold the token counts of segments (a word with the space before it), and two levels above them the sums of
+bytes and tokens: blocks of 256 leaves and their total. An edit replaces a byte range: only the segments it touches and one on either side are split and encoded
 again, then the sums above them are updated. The table of edits may hold any number of edits per document, which are
 applied in order of `seq`; each one refers to the text that its predecessors left.
 
-Trees are stored as a table (doc_id, segment bytes, segment tokens), so a later run can update counts from edits and
-the touched stretch of text.
+The sums live only within a call and are not stored: every run encodes each text in full once, and only the edits given
+to that call are incremental.
 
 Nulls: a null text is empty; an edit with null position, or for an id that is not there, changes nothing; a null
 replacement is empty. Positions beyond the end are moved to the end; inside a character, back to its start. Ties in seq
