@@ -4,10 +4,13 @@ Encodings of text pieces form a monoid: the element of a byte string is its toke
 joined by re-encoding a window around the seam that grows until the tokens outside it provably stabilise. The proof
 rests on one fact about BPE: a token sequence is the encoding of its bytes exactly when every two neighbours in it are,
 so a join is right once the pairs at both ends of the window are (and pairs away from the seam already were).
-Encoding splits a pre-token in halves down to single bytes; decoding concatenates bytes up the same tree.
+A pre-token is split in halves down to single bytes, whatever its length; the window alone is merged by definition.
+Small inner nodes and windows, which recur, are kept in bounded caches.
 
-A text is cut where a single space stands between two other characters: there a pre-token always begins, so words can
-be looked up in a bounded cache. Texts with other white space around a cut are split by the pattern as a whole.
+Above pre-tokens the tree goes on: a long text is halved where a single space stands between two other characters, for
+there a pre-token always begins, and the halves' ids are concatenated; decoding concatenates up a tree of halves of ids.
+Within a block, words are looked up in a bounded cache; a block with other white space around a cut is split by the
+pattern as a whole.
 
 Nulls: a null text is empty; the empty text has no ids, and its hashes are those of the empty string. Very long texts
 and pre-tokens take memory in proportion to themselves. Repeated rows are encoded one by one; extra columns are not
@@ -34,14 +37,17 @@ from .common import per_batch, prepare, strings, table
 
 #: Entries kept in each of a worker's caches before it starts afresh.
 CACHE_ENTRIES = 450_000
-#: Pre-tokens up to this many bytes are reduced as one block: a row of neighbours joined by rank.
-LEAF_BYTES = 24
-#: Lengths of tokens too short to be looked up by their first three bytes.
-SHORT = (2, 1)
+#: Entries and longest keys of the caches of inner nodes and windows.
+NODE_ENTRIES, NODE_BYTES = 100_000, 16
+#: Texts longer than this, and more ids than this, are halved.
+BLOCK = 4096
 
 #: Above every rank.
 NEVER = 1 << 30
 
+#: A single space between two other characters, looked for from either side.
+SEAM, SEAM_BACKWARDS = regex.compile(r"\S \S"), regex.compile(r"(?r)\S \S")
+
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -77,19 +83,16 @@ class BPE:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        by_start: dict[bytes, set[int]] = {}
-        for b in self.ranks:
-            if len(b) > 2:
-                by_start.setdefault(b[:3], set()).add(len(b))
-        #: Lengths of the tokens that begin with these three bytes, longest first, then those of any other start.
-        self.sizes = {b: (*sorted(n, reverse=True), *SHORT) for b, n in by_start.items()}
         self.findall = regex.compile(pattern).findall
         self.stable: dict[tuple[int, int], bool] = {}
+        self.nodes = Cache(self.reduced, NODE_ENTRIES, NODE_BYTES)
+        self.windows = Cache(self.merged, NODE_ENTRIES, NODE_BYTES)
         self.pretokens, self.words, self.firsts = Cache(self.pretoken), Cache(self.word), Cache(self.pieces)
         self.segments = Cache(self.segment)
+        #: Joins made and bytes encoded again in their windows.
+        self.joins = self.joined = 0
 
-    def merged(self, data: bytes) -> list[int]:
+    def merged(self, data: bytes) -> tuple[int, ...]:
         """The encoding by definition: the neighbours of the lowest rank join first, the left-most of equals."""
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -105,61 +108,29 @@ class BPE:
                 pair[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
             if i < len(pair):
                 pair[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
-        return [ranks[p] for p in parts]
-
-    def leaf(self, data: bytes) -> list[int]:
-        """The encoding of a short string: its one row of tokens in which all neighbours are settled, found from the
-        left by the longest token that is settled with the one before. A place once given up is not tried again,
-        for the bytes before it have no second such row."""
-        ranks, stable, sizes, n = self.ranks.get, self.stable.get, self.sizes.get, len(data)
-        tokens: list[int] = []
-        starts: list[int] = []
-        given_up: set[int] = set()
-        i, most, last = 0, n, -1
-        while i < n:
-            for size in sizes(data[i : i + 3], SHORT):
-                if size <= most:
-                    t = ranks(data[i : i + size])
-                    if t is not None:
-                        good = stable((last, t))
-                        if (good or good is None and self.settled(last, t)) and not (given_up and i + size in given_up):
-                            break
-            else:
-                if not tokens:
-                    return self.merged(data)
-                given_up.add(i)
-                tokens.pop()
-                at = starts.pop()
-                i, most = at, i - at - 1
-                last = tokens[-1] if tokens else -1
-                continue
-            tokens.append(t)
-            starts.append(i)
-            last = t
-            i += size
-            most = n - i
-        return tokens
+        return tuple([ranks[p] for p in parts])
 
     def settled(self, a: int, b: int) -> bool:
-        """Whether tokens a, b are the encoding of their bytes; with a = -1, whether b alone is."""
-        key = (a, b)
-        found = self.stable.get(key)
+        """Whether tokens a, b are the encoding of their bytes."""
+        found = self.stable.get((a, b))
         if found is None:
             if len(self.stable) >= CACHE_ENTRIES:
                 self.stable.clear()
-            found = self.stable[key] = self.merged((self.bytes_of[a] if a >= 0 else b"") + self.bytes_of[b]) == ([a, b] if a >= 0 else [b])
+            found = self.stable[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
         return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the two's bytes together."""
-        if not left or not right:
-            return left + right
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of the two's bytes together: a window around the seam, doubled on a side as long as the pair at
+        its end there is not settled."""
+        self.joins += 1
         if self.settled(left[-1], right[0]):
             return left + right
-        i, j = 1, 1
+        i, j, of = 1, 1, self.bytes_of
         while True:
-            window = self.leaf(b"".join(self.bytes_of[t] for t in [*left[len(left) - i :], *right[:j]]))
-            good_left = i == len(left) or self.settled(left[len(left) - i - 1], window[0])
+            around = b"".join([of[t] for t in (*left[len(left) - i :], *right[:j])])
+            self.joined += len(around)
+            window = self.windows[around]
+            good_left = i == len(left) or self.settled(left[-i - 1], window[0])
             good_right = j == len(right) or self.settled(window[-1], right[j])
             if good_left and good_right:
                 return left[: len(left) - i] + window + right[j:]
@@ -168,20 +139,18 @@ class BPE:
             if not good_right:
                 j = min(len(right), j * 2)
 
-    def piece(self, data: bytes) -> list[int]:
-        """One pre-token: halves are encoded and joined."""
-        if len(data) <= LEAF_BYTES:
-            return self.leaf(data)
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        mid = len(data) // 2
-        return self.join(self.piece(data[:mid]), self.piece(data[mid:]))
+    def reduced(self, data: bytes) -> tuple[int, ...]:
+        """The encoding of a byte string: single bytes are the leaves, every inner node joins its halves."""
+        if len(data) == 1:
+            return (self.ranks[data],)
+        mid = len(data) >> 1
+        nodes = self.nodes
+        return self.join(nodes[data[:mid]], nodes[data[mid:]])
 
     def pretoken(self, text: str) -> tuple[int, ...]:
         data = text.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        return tuple(self.piece(data)) if whole is None else (whole,)
+        whole = self.ranks.get(data)  # the library, too, takes a pre-token that is a token as it is
+        return self.reduced(data) if whole is None else (whole,)
 
     def pieces(self, text: str) -> bytes:
         """Ids of a text split by the pattern, as little-endian unsigned 32-bit integers."""
@@ -194,36 +163,53 @@ class BPE:
         """Ids of a space and a word; None if white space at its ends forbids to cut here."""
         return None if not word or word[0].isspace() or word[-1].isspace() else self.pieces(" " + word)
 
-    def segment(self, word: str) -> tuple[str, int, int]:
-        """A space and a word, its bytes and its tokens."""
+    def segment(self, word: str) -> tuple[int, int]:
+        """Bytes and tokens of a space and a word."""
         return self.measured(" " + word)
 
-    def measured(self, text: str) -> tuple[str, int, int]:
-        return text, len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")), len(self.pieces(text)) // 4
+    def measured(self, text: str) -> tuple[int, int]:
+        return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")), len(self.pieces(text)) // 4
 
     def word_list(self, text: str) -> list[bytes]:
         """Ids of a text in parts that concatenate to the whole."""
         if not text:
             return []
         words = text.split(" ")
-        if not words[0] or words[0][0].isspace() or words[0][-1].isspace():
+        first = words[0]
+        if first and (first[0].isspace() or first[-1].isspace()):
             return [self.pieces(text)]
-        out = [self.firsts[words[0]], *map(self.words.__getitem__, words[1:])]
+        out = [*([self.firsts[first]] if first else []), *map(self.words.__getitem__, words[1:])]
         return [self.pieces(text)] if None in out else out
 
+    def halves(self, text: str) -> tuple[str, str] | None:
+        """The text cut before a single space between two other characters: the first such place after its middle, or
+        else the last one before it."""
+        mid = len(text) >> 1
+        if after := SEAM.search(text, mid):
+            at = after.start() + 1
+        elif before := SEAM_BACKWARDS.search(text, 0, mid + 2):
+            at = before.start() + 1
+        else:
+            return None
+        return text[:at], text[at:]
+
+    def encoded(self, text: str) -> bytes:
+        """Ids of a text: its halves' ids joined. Nothing needs to be encoded again at a seam where a pre-token
+        begins whatever stands on either side."""
+        if len(text) > BLOCK and (parts := self.halves(text)):
+            return self.encoded(parts[0]) + self.encoded(parts[1])
+        return b"".join(self.word_list(text))
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.word_list(text)), "<u4")
+        return np.frombuffer(self.encoded(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of ids, concatenated up the tree."""
+        """Bytes of ids, concatenated up the tree of halves."""
+        if len(ids) > BLOCK:
+            mid = len(ids) >> 1
+            return self.decode(ids[:mid]) + self.decode(ids[mid:])
         of = self.bytes_of
-        return concatenated([b"".join([of[i] for i in ids[a : a + 4096].tolist()]) for a in range(0, len(ids), 4096)])
-
-
-def concatenated(parts: list[bytes]) -> bytes:
-    while len(parts) > 1:
-        parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0] if parts else b""
+        return b"".join([of[i] for i in ids.tolist()])
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,24 +32,33 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the cluster in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) is a folder made and set.
+    Where the setting is absent, a folder of this machine will do only if executors run on it: a local master. It is
+    made once a process; the caller's session is left as it is.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = own_folder()
     return found.rstrip("/")
 
 
+@functools.lru_cache(maxsize=1)
+def own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +89,15 @@ def documents_schema(df: DataFrame):
     return StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def rows_batch(rows: list[tuple], form: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of a flat schema string, where no session can read it: in workers."""
+    fields = [f.split(" ") for f in form.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ARROW[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to one batch (or a dict of its columns)."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -59,18 +59,72 @@ def test_byte_bpe(spark, docs, rows):
     assert bpe.round_trip(docs.limit(0), RANKS).count() == 0
 
 
+def test_joins_meet_the_definition_at_any_cut():
+    """Every pre-token, however short, goes through joins of halves, and each window is smaller than the whole where it can be."""
+    v, r = bpe.BPE(RANKS), random.Random(9)
+    for k in range(600):
+        data = "".join(r.choice("thersonai" if k % 2 else "éaxqz日") for _ in range(r.randint(2, 40))).encode()
+        at = r.randint(1, len(data) - 1)
+        assert v.join(v.merged(data[:at]), v.merged(data[at:])) == v.merged(data) == v.reduced(data)
+    v = bpe.BPE(RANKS)
+    assert v.reduced(b"ab") == v.merged(b"ab") and v.joins == 1
+    before, word = v.joins, "zqxjkvbw" * 40
+    v.reduced(word.encode())
+    assert v.joins - before >= 8 and v.joined < 40 * len(word)
+
+
+def test_long_texts_are_halved_at_safe_places():
+    v, r = bpe.BPE(RANKS), random.Random(10)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    for k in range(12):
+        t = "".join(r.choice(LETTERS if k % 3 else "ab  \n ") for _ in range(12000)) + "x" * (5000 if k % 2 else 0) + " y z"
+        assert list(v.encode(t)) == e.encode_ordinary(t) and v.decode(v.encode(t)) == t.encode()
+    left, right = v.halves("aa bb cc dd")
+    assert left + right == "aa bb cc dd" and right[0] == " " and v.halves("abc  def") is None and v.halves("a b" + "c" * 50) == ("a", " b" + "c" * 50)
+
+
+def height_is_balanced(t):
+    return not t[2] or abs(t[3][2] - t[4][2]) <= 1 and t[:3] == edit_counts.node(t[3], t[4])[:3] and height_is_balanced(t[3]) and height_is_balanced(t[4])
+
+
 def test_edit_counts(spark, docs):
     v, r = bpe.BPE(RANKS), random.Random(2)
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    for _ in range(400):
-        s = "".join(r.choice(LETTERS) for _ in range(r.randint(0, 300)))
-        c = edit_counts.CountedText(v, s)
+    for k in range(400):
+        s = "".join(r.choice(LETTERS) for _ in range(r.randint(0, 300 if k % 20 else 9000)))
+        c = edit_counts.CountedText.of(v, s)
         for _ in range(4):
-            c.edit(r.randint(0, 310), r.randint(0, 30), "".join(r.choice(LETTERS) for _ in range(r.randint(0, 12))))
-            assert c.tree.tokens() == len(e.encode_ordinary(c.text()))
-    edits = spark.createDataFrame([(3, 1, 0, 1, "T"), (3, 2, None, 1, "x"), (999, 1, 0, 0, "x"), (0, 1, 5, 9, None)], "doc_id long, seq long, at long, removed long, inserted string")
+            c.edit(r.randint(0, len(s) + 10), r.randint(0, 30 if k % 3 else 3000), "".join(r.choice(LETTERS) for _ in range(r.randint(0, 12 if k % 5 else 900))))
+            assert c.tokens() == len(e.encode_ordinary(c.text())) and c.n_bytes() == len(c.text().encode())
+            assert c.tree is None or height_is_balanced(c.tree)
+    long = edit_counts.CountedText.of(v, "some words here " * 20000)
+    long.edit(100_000, 5, "new")
+    assert long.encoded < 40 and long.tokens() == len(e.encode_ordinary(long.text())) and long.tree[2] < 16
+    edits = spark.createDataFrame([(3, 1, 0, 1, "T"), (3, 2, None, 1, "x"), (999, 1, 0, 0, "x"), (0, 1, 5, 9, None), (None, 1, 0, 0, "x")], "doc_id long, seq long, at long, removed long, inserted string")
     got = by_id(edit_counts.counted(docs, edits, RANKS))
-    assert got[3].n_edits == 1 and got[3].n_tokens_after == len(e.encode_ordinary("Tne")) and got[0].n_tokens_after == 0
+    assert len(got) == docs.where("doc_id IS NOT NULL").count()
+    assert got[3].n_edits == 1 and got[3].n_tokens_after == len(e.encode_ordinary("Tne")) and got[0].n_tokens_after == 0 and got[6].n_bytes_encoded_again == 0
+
+
+def test_trees_outlive_a_run(spark):
+    """Two rounds of edits on a stored tree equal both on the text; the second reads no text but the tree's own."""
+    v = bpe.BPE(RANKS)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    long = "les mots anglais of the text " * 3000
+    rows = spark.createDataFrame([(1, long, 7), (1, "twice here", 8), (2, None, 9), (None, "no id", 0)], "doc_id long, text string, data long")
+    form = "doc_id long, seq long, at long, removed long, inserted string"
+    trees = edit_counts.build_trees(rows, RANKS)
+    trees = edit_counts.updated_trees(trees, spark.createDataFrame([(1, 1, 5, 4, "XY")], form), RANKS)
+    after = edit_counts.edited(trees, spark.createDataFrame([(1, 2, 2, 0, "é "), (1, 1, 0, 1, "L")], form), RANKS, False).collect()
+    want = []
+    for t in (long, "twice here"):
+        t = t[:5] + "XY" + t[9:]
+        t = "L" + t[1:]
+        t = t[:2] + "é " + t[2:]
+        want.append((1, 2, len(e.encode_ordinary(t)), len(t.encode())))
+    assert sorted((r.doc_id, r.n_edits, r.n_tokens_after, r.n_bytes_after) for r in after if r.doc_id == 1) == sorted(want)
+    assert max(r.n_bytes_encoded_again for r in after) < 100 and len(after) == 4
+    assert edit_counts.counted(rows.limit(0), spark.createDataFrame([], form), RANKS).count() == 0
 
 
 def test_warc(spark):
