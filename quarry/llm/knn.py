@@ -11,8 +11,10 @@ Query cells are gathered into groups of at most GROUP_QUERIES queries (larger ce
 BLOCK_ROWS rows by a salt, so neither a hot cell nor one very common vector makes a large task; a block holds its
 rows and its group's queries alone.
 
-Pivots are a bounded sample (PIVOTS rows by hash). Vectors that are null or hold null or non-finite components, or
-have a null id, take no part; shorter vectors count as padded with zeros. Ties go to the smaller id. With fewer than k
+Pivots are a sample (rows by hash) that grows with the square root of the data, up to PIVOTS. Vectors that are null or
+hold null or non-finite components, or have a null id, take no part; shorter vectors count as padded with zeros.
+Products are taken in float64 as long as they are sure to be whole there (squared norms under 2^53), else in int64; a
+squared norm of 2^63 or more, for which scores might not fit a long, raises ValueError. Ties go to the smaller id. With fewer than k
 candidates all are returned. A query's own id is never its candidate; rows that repeat an id count each. Empty tables
 give empty results; extra columns are ignored.
 """
@@ -26,19 +28,20 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, prepare, table, written
 
-PIVOTS = 128
+PIVOTS = 2048
 GROUP_QUERIES = 4096
 BLOCK_ROWS = 4096
 SLACK = 1e-9
-#: Component sums stay below 2^53, where float64 holds whole numbers exactly.
-EXACT = 1 << 53
+#: Squared norms below the first are whole in float64, below the second in int64.
+EXACT, LONG = 1 << 53, 1 << 63
 
 
 def whole_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and floor(scale * component) as packed int64, of the vectors that take part."""
+    """vec_id and floor(scale * component) of the vectors that take part, packed: a byte that tells the width of an
+    integer, then little-endian integers of the least width that holds them."""
 
     def run(b: pa.RecordBatch) -> dict:
-        ids, vecs, norms = [], [], []
+        ids, vecs, norms, dims = [], [], [], []
         for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if i is None or v is None or any(x is None for x in v):
                 continue
@@ -46,20 +49,25 @@ def whole_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
             if not np.isfinite(x).all():
                 continue
             w = np.floor(scale * x)
-            if float(w @ w) >= EXACT:
-                raise ValueError("components too large for exact scores")
+            norm2 = float(w @ w)
+            norm2 = int(norm2) if norm2 < EXACT else sum(int(c) ** 2 for c in w.tolist())
+            if norm2 >= LONG:
+                raise ValueError("components too large: scores might not fit a long")
+            most = float(np.abs(w).max(initial=0))
+            width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
             ids.append(i)
-            vecs.append(w.astype("<i8").tobytes())
-            norms.append(int(w @ w))
-        return {"vec_id": ids, "v": vecs, "norm2": norms}
+            vecs.append(bytes([width]) + w.astype(f"<i{width}").tobytes())
+            norms.append(norm2)
+            dims.append(len(w))
+        return {"vec_id": ids, "v": vecs, "norm2": norms, "dim": dims}
 
-    return per_batch(rows.select(F.col("vec_id").cast("long"), "embedding"), run, "vec_id long, v binary, norm2 long")
+    return per_batch(rows.select(F.col("vec_id").cast("long"), "embedding"), run, "vec_id long, v binary, norm2 long, dim int")
 
 
-def unpacked(cells: list[bytes], dim: int) -> np.ndarray:
-    out = np.zeros((len(cells), dim))
+def unpacked(cells: list[bytes], dim: int, kind: type = np.float64) -> np.ndarray:
+    out = np.zeros((len(cells), dim), kind)
     for k, c in enumerate(cells):
-        x = np.frombuffer(c, "<i8")
+        x = np.frombuffer(c, f"<i{c[0]}", offset=1)
         out[k, : len(x)] = x
     return out
 
@@ -73,13 +81,15 @@ def to_pivots(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> tuple[np.
 
 
 def top_k(data: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k largest inner products. data: vec_id, v, norm2, read several times."""
+    """query_id, rank, vec_id, score of the k largest inner products. data: rows of whole_vectors, read several times."""
     spark = data.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    stats = data.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("v"))).first()
+    stats = data.agg(F.count("*"), F.max("norm2"), F.max("dim")).first()
     if not stats[0]:
         return spark.createDataFrame([], schema)
-    m2, dim = int(stats[1]), int(stats[2]) // 8
+    m2, dim = int(stats[1]), int(stats[2])
+    kind = np.float64 if m2 < EXACT else np.int64
+    none = -np.inf if m2 < EXACT else np.iinfo(np.int64).min  # no score is as small: its square is at most m2 squared
     n_pivots = int(max(1, min(pivots, stats[0] ** 0.5)))
     chosen = data.orderBy(F.xxhash64("v"), "vec_id").select("v", "norm2").limit(n_pivots).collect()
     px = unpacked([bytes(r["v"]) for r in chosen], dim)
@@ -132,7 +142,7 @@ def top_k(data: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFrame:
     n_query, q_far = np.zeros(n, np.int64), np.zeros(n)
     for c, count, far in q_rows:
         n_query[c], q_far[c] = count, far
-    between = np.sqrt(np.maximum((p**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None] - 2 * p @ p.T, 0))
+    between = np.stack([np.sqrt(((p - x) ** 2).sum(axis=1)) for x in p])
     wide = SLACK * (1 + float(np.sqrt(m2)))
     # The k-th neighbour (and the query itself) of any query of cell i lies within theta[i].
     theta = np.full(n, np.inf)
@@ -180,10 +190,9 @@ def top_k(data: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFrame:
         out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
             order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
-            x, ids, cell = unpacked(right.column("v").to_pylist(), dim)[order], right.column("vec_id").to_numpy()[order], right.column("cell").to_numpy()[order]
+            x, ids, cell = unpacked(right.column("v").to_pylist(), dim, kind)[order], right.column("vec_id").to_numpy()[order], right.column("cell").to_numpy()[order]
             dist = right.column("dist").to_numpy()[order]
-            q, q_ids, q_cell = unpacked(left.column("v").to_pylist(), dim), left.column("vec_id").to_numpy(), left.column("cell").to_numpy()
-            place = np.arange(len(ids))[::-1]
+            q, q_ids, q_cell = unpacked(left.column("v").to_pylist(), dim, kind), left.column("vec_id").to_numpy(), left.column("cell").to_numpy()
             for c in np.unique(q_cell):
                 keep = np.flatnonzero(dist >= between[c, cell] - q_far[c] - theta[c] - wide)
                 if not len(keep):
@@ -191,17 +200,16 @@ def top_k(data: DataFrame, is_query, k: int, pivots: int = PIVOTS) -> DataFrame:
                 mine = np.flatnonzero(q_cell == c)
                 for a in range(0, len(mine), 256):
                     rows = mine[a : a + 256]
-                    score = np.rint(q[rows] @ x[keep].T).astype(np.int64)
-                    key = score * len(ids) + place[keep][None]
-                    key[q_ids[rows][:, None] == ids[keep][None]] = np.iinfo(np.int64).min
-                    top = min(k, key.shape[1])
-                    best = np.argpartition(key, key.shape[1] - top, axis=1)[:, key.shape[1] - top :]
-                    line = np.repeat(np.arange(len(rows)), top)
-                    best = best.ravel()
-                    real = key[line, best] != np.iinfo(np.int64).min
-                    out[0].append(q_ids[rows][line][real])
-                    out[1].append(ids[keep][best][real])
-                    out[2].append(score[line, best][real])
+                    score = q[rows] @ x[keep].T
+                    score[q_ids[rows][:, None] == ids[keep][None]] = none
+                    top = min(k, score.shape[1])
+                    # All scores above the k-th, then those equal to it from the smallest id on: columns go by id.
+                    least = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top][:, None]
+                    above, equal = score > least, score == least
+                    line, best = np.nonzero((above | equal & (np.cumsum(equal, axis=1) <= top - above.sum(axis=1, keepdims=True))) & (score != none))
+                    out[0].append(q_ids[rows][line])
+                    out[1].append(ids[keep][best])
+                    out[2].append(score[line, best].astype(np.int64))
         cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
         return pa.Table.from_arrays(cols, ["query_id", "vec_id", "score"])
 
