@@ -7,13 +7,14 @@ open sequence that it fits under every constraint and that it leaves with the sm
 Only lengths matter to the choice, and lengths are whole numbers up to the capacity, so the decisions are made for
 the histogram of lengths: equal open sequences are one class with a count, and equal pieces are placed many at a time
 exactly as one by one. The histogram has at most `tokens` rows and the classes at most a few per length, whatever the
-size of the corpus. Every piece then finds its place from its rank among the pieces of its length. Ranks come from a
+size of the corpus. By the norm rule a sequence that took a piece stays the best for the next of its length, so it is
+filled at once; by the dot rule it falls back, so every sequence of the best class takes one piece. Every piece then finds its place from its rank among the pieces of its length. Ranks come from a
 count per (length, bucket) and a row number inside each; buckets are salted by document, so a very common length is
 spread over many tasks.
 
 Nulls: a null text is empty: one end-of-text id. A null doc_id is packed like others. Only documents longer than a
-sequence are cut. Repeated rows are packed each. Ties: pieces of one length take ranks by doc_id, piece and content; classes tie by
-age. An empty table gives an empty result. Extra columns are not carried.
+sequence are cut. Repeated rows are packed each. Ties: pieces of one length take ranks by doc_id, piece and content; among equally good sequences
+the one with the least room (tokens, then documents, then attention) is taken. An empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -130,6 +131,13 @@ def pieces(docs: DataFrame, path: str, most: int = TOKENS) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def badness(left: np.ndarray, need: np.ndarray, weights: np.ndarray, rule: str) -> np.ndarray:
+    """How badly sequences with `left` suit a piece: the norm of what would remain, or minus the dot product."""
+    if rule == "dot":
+        return -((left * weights) * (need * weights)).sum(axis=1)
+    return (((left - need) * weights) ** 2).sum(axis=1)
+
+
 def best_fit(counts: dict[int, int], cap: Capacity = Capacity()) -> np.ndarray:
     """Places for every rank of every length: rows (length, first rank, ranks, per sequence, first sequence, offset).
 
@@ -161,15 +169,14 @@ def best_fit(counts: dict[int, int], cap: Capacity = Capacity()) -> np.ndarray:
             fits = np.flatnonzero((room >= need).all(axis=1))
             if len(fits):
                 left = room[fits]
-                if cap.rule == "dot":
-                    best = fits[int(np.argmax(((left * weights) * (need * weights)).sum(axis=1)))]
-                else:
-                    best = fits[int(np.argmin((((left - need) * weights) ** 2).sum(axis=1)))]
+                cost = badness(left, need, weights, cap.rule)
+                ties = fits[cost == cost.min()]
+                best = int(ties[np.lexsort(room[ties].T[::-1])[0]])
                 count, items = classes[best]
                 left = room[best].copy()
             else:
                 best, count, items, left = -1, -1, [], full
-            per = most(left, length)
+            per = 1 if best >= 0 and cap.rule == "dot" else most(left, length)
             offset = cap.tokens - int(left[0])
             if best < 0:
                 count = -(-todo // per)
