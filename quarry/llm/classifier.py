@@ -1,11 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Learned filters of WIDTH bytes slide over overlapping chunks that cover the whole document; each filter is max-pooled
-in a chunk, and the largest and the mean chunk response of every filter are combined into one probability. A filter
-over one-hot bytes is a table of one weight per offset and byte, so inference is a sum of WIDTH table look-ups.
+Learned filters of WIDTH bytes slide over chunks of CHUNK places that cover the whole document, each overlapping the next
+by half; each filter is max-pooled in a chunk, and the largest and the mean chunk response of every filter are combined
+into one probability. A filter over one-hot bytes is a table of one weight per offset and byte, so inference is a sum of
+WIDTH table look-ups, and a chunk's maximum is the greater of its halves' maxima.
 
 Nulls: a null text is an empty one; empty texts get the probability of an all-zero pooled vector, a constant of the
-model. Without labelled rows, or with one class only, the score is that class's share (0.5 without any). Very long texts are scored chunk
+model; a text of fewer than WIDTH bytes is padded with zero bytes. Without labelled rows, or with one class only, the score is that class's share (0.5 without any). Very long texts are scored chunk
 by chunk. Empty tables give empty results; repeated rows are scored one by one; extra columns are ignored by `score`
 and kept by `filter_documents`.
 """
@@ -22,11 +23,17 @@ from pyspark.sql import functions as F
 from .common import documents_schema, held_out, labelled_sample, per_batch, prepare, strings, table
 
 WIDTH, FILTERS, CHUNK = 5, 12, 512
+HALF = CHUNK // 2
 #: Bounded sample of labelled rows for fitting.
 SAMPLE_ROWS = 2500
 QUALITY_THRESHOLD = 0.3
 
 
+def of_chunks(halves: np.ndarray) -> np.ndarray:
+    """Responses of chunks, each two neighbouring halves; a text of one half is one chunk."""
+    return np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
+
+
 @dataclass
 class ByteConvNet:
     taps: np.ndarray  # (WIDTH, 256, FILTERS)
@@ -35,32 +42,33 @@ class ByteConvNet:
     offset: float
 
     def chunks(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes, pooled responses per chunk, and where each was largest."""
-        x = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        """Bytes, pooled responses per half chunk, and the responses with their first places."""
+        data = text.encode("utf-8", "surrogatepass")
+        x = np.frombuffer(data.ljust(WIDTH, b"\0") if data else data, np.uint8)
         n = len(x) - WIDTH + 1
         if n <= 0:
-            return x, np.zeros((0, FILTERS), np.float32), np.zeros((0, FILTERS), np.int64)
+            return x, np.zeros((0, FILTERS), np.float32), []
         parts, places = [], []
         for start in range(0, n, CHUNK * 64):  # bounded memory for very long texts
             stop = min(n, start + CHUNK * 64)
             r = self.taps[0].take(x[start:stop], axis=0)
             for k in range(1, WIDTH):
                 r += self.taps[k].take(x[start + k : stop + k], axis=0)
-            full = (stop - start) // CHUNK
+            full = (stop - start) // HALF
             if full:
-                v = r[: full * CHUNK].reshape(full, CHUNK, FILTERS)
+                v = r[: full * HALF].reshape(full, HALF, FILTERS)
                 parts.append(v.max(axis=1))
                 places.append((v, start))
-            if (stop - start) % CHUNK:
-                v = r[full * CHUNK :][None]
+            if (stop - start) % HALF:
+                v = r[full * HALF :][None]
                 parts.append(v.max(axis=1))
-                places.append((v, start + full * CHUNK))
+                places.append((v, start + full * HALF))
         return x, np.concatenate(parts), places
 
-    def pooled(self, top: np.ndarray) -> np.ndarray:
-        if not len(top):
+    def pooled(self, halves: np.ndarray) -> np.ndarray:
+        if not len(halves):
             return np.zeros(2 * FILTERS, np.float32)
-        act = np.maximum(top + self.bias, 0)
+        act = np.maximum(of_chunks(halves) + self.bias, 0)
         return np.concatenate([act.max(axis=0), act.mean(axis=0)])
 
     def probability(self, text: str) -> float:
@@ -85,9 +93,10 @@ def fit(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.02, seed:
             grads = [np.zeros_like(p) for p in params]
             for i in order[at : at + 16]:
                 text, y = rows[i]
-                x, top, places = net.chunks(text)
+                x, halves, places = net.chunks(text)
+                top = of_chunks(halves)
                 act = np.maximum(top + net.bias, 0) if len(top) else top
-                v = net.pooled(top)
+                v = net.pooled(halves)
                 z = float(v @ net.dense) + float(params[3][0])
                 d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
                 grads[3][0] += d
@@ -98,9 +107,12 @@ def fit(rows: list[tuple[str, int]], epochs: int = 6, rate: float = 0.02, seed:
                 g[act.argmax(axis=0), np.arange(FILTERS)] += d * net.dense[:FILTERS]
                 g = g * (act > 0)
                 grads[1] += g.sum(axis=0)
+                if len(halves) > 1:  # to the half that holds the maximum
+                    late = halves[1:] > halves[:-1]
+                    g = np.vstack([np.where(late, 0, g), np.zeros(FILTERS)]) + np.vstack([np.zeros(FILTERS), np.where(late, g, 0)])
                 row = 0
                 for block, start in places:
-                    p = block.argmax(axis=1) + start + (np.arange(len(block)) * CHUNK)[:, None]
+                    p = block.argmax(axis=1) + start + (np.arange(len(block)) * HALF)[:, None]
                     gb = g[row : row + len(block)]
                     row += len(block)
                     f = np.broadcast_to(np.arange(FILTERS), p.shape)

@@ -116,27 +116,45 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) pairs for fitting, none of them held out; the bound is the parameter `rows`.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of text that a sample for fitting may hold.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most `rows` (text, label) pairs of at most `most_bytes` together for fitting, none of them held out; both
+    bounds are parameters.
 
     The rows with the smallest xxhash64(doc_id) are taken, so the sample is the same on every run; rows without a
-    label or id are skipped. Only ids and labels are ordered; texts are read for the chosen ids alone.
+    label or id are skipped, as are texts that the bytes left do not suffice for. Of rows that repeat an id the least
+    text counts, found before anything is collected; of repeated labels the least.
     """
-    y = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
-        .where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
-        .dropDuplicates(["_id"])
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(rows)
-    )
-    chosen = [(r[0], r[1]) for r in y.collect()]
+    y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
+    y = y.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y"))
+    chosen = [(r[0], r[1]) for r in y.orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()]
     if not chosen:
         return []
-    small = docs.sparkSession.createDataFrame(chosen, "_id long, _y int")
-    got = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(small), "_id").select("_id", "_t", "_y").collect()
-    seen, out = set(), []
-    for i, t, v in sorted(got, key=lambda r: (r[0], r[1] or "")):
-        if i not in seen:
-            seen.add(i)
-            out.append((t or "", v))
-    return out
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_t"))
+
+    def texts_of(ids: list[int]) -> DataFrame:
+        small = spark.createDataFrame([(i,) for i in ids], "_id long")
+        return d.join(F.broadcast(small), "_id").groupBy("_id").agg(F.min("_t").alias("_t"))
+
+    size = {r[0]: r[1] for r in texts_of([i for i, _ in chosen]).select("_id", F.octet_length("_t")).collect()}
+    taken, left = [], most_bytes
+    for i, v in chosen:
+        if i in size and size[i] <= left:
+            left -= size[i]
+            taken.append((i, v))
+    if not taken:
+        return []
+    text = {r[0]: r[1] for r in texts_of([i for i, _ in taken]).collect()}
+    return [(text[i], v) for i, v in sorted(taken)]

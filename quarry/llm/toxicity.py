@@ -27,7 +27,6 @@ from .common import held_out, labelled_sample, per_batch, prepare, strings, tabl
 
 #: Bounded sample of labelled rows for fitting.
 SAMPLE_ROWS = 5000
-MAX_FEATURES = 1500
 THRESHOLD = 0.5
 CACHE_ENTRIES, CACHED_CHARS = 300_000, 1000
 READINGS = 3
@@ -47,16 +46,22 @@ SMOOTHING = 0.1
 
 
 def class_table() -> np.ndarray:
-    t = np.zeros(256, np.int64)
-    for k in range(26):
-        t[ord("a") + k] = t[ord("A") + k] = k + 1
-    t[128:] = 27
+    """Classes of code points below 2^16 as they are read: folded, in lower case. Others count as other letters."""
+    t = np.full((1 << 16) + 1, N_CLASSES - 1, np.int64)
+    for c in range(1 << 16):
+        x = chr(c).lower()[0].translate(FOLD)
+        t[c] = ord(x) - 96 if "a" <= x <= "z" else N_CLASSES - 1 if chr(c).isalpha() else 0
     return t
 
 
 CLASS = class_table()
 
 
+def classes(text: str) -> np.ndarray:
+    """The class of every character, one symbol each, as the reader sees them."""
+    return CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 1 << 16)]
+
+
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of class triples over all documents: one partial table per task, then sums; at most 28^3 rows."""
 
@@ -64,8 +69,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(N_CLASSES**3, np.int64)
         for b in batches:
             for t in strings(b.column(0)):
-                x = CLASS[np.frombuffer(f"  {t}  ".encode("utf-8", "surrogatepass"), np.uint8)]
-                total += np.bincount((x[:-2] * N_CLASSES + x[1:-1]) * N_CLASSES + x[2:], minlength=N_CLASSES**3)
+                total += triples(t)
         cells = np.flatnonzero(total)
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
@@ -76,6 +80,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def triples(text: str) -> np.ndarray:
+    x = classes(f"  {text}  ")
+    return np.bincount((x[:-2] * N_CLASSES + x[1:-1]) * N_CLASSES + x[2:], minlength=N_CLASSES**3)
+
+
 def log_model(counts: np.ndarray) -> np.ndarray:
     """log P(third | first two), from triples inside words and at their edges."""
     c = counts.reshape(N_CLASSES, N_CLASSES, N_CLASSES).astype(float) + SMOOTHING
@@ -242,7 +251,9 @@ def spelled(chain: tuple | None) -> str:
     return "".join(reversed(out))
 
 
+#: Punctuation around words; what may be a look-alike at a word's beginning, or at the end of one without letters, stays.
 EDGES = ".,;:?\"'()[]{}<>&%#*!-_~^/\\|`"
+BEFORE, BEHIND = ".,;:?\"'()[]{}<>&%#*-_~^/\\`", ".,;:?\"'()[]{}<>&%-_~^/\\`"
 #: Letters between signs; one alone beside a sign is no word, but what a look-alike leaves of one.
 PLAIN = re.compile(r"[^\W\d_]{2,}")
 RUN3 = re.compile(r"([^\W\d_])\1\1")
@@ -258,7 +269,7 @@ class Reader:
         self.cache: dict[str, tuple[str, ...]] = {}
 
     def word(self, w: str) -> tuple[str, ...]:
-        """Readings of one lower-case word; none if it holds no letter."""
+        """Readings of one lower-case word; none if nothing in it can be a letter."""
         core = w.strip(EDGES)
         if core.isalpha():
             if RUN3.search(core):
@@ -266,9 +277,11 @@ class Reader:
             else:
                 found = (core,)
         elif not any(x.isalpha() for x in core):
-            found = ()
+            # No letter at all: a word only if every sign may stand for one.
+            signs = w.rstrip(BEHIND).lstrip(BEFORE)
+            found = tuple(self.restore.read(signs)) if len(signs) > 2 and all(LOOKALIKE.get(x) for x in signs) else ()
         else:
-            whole = w.rstrip(EDGES).lstrip(".,;:?\"'()[]{}<>&%#*-_~^/\\`").translate(FOLD)
+            whole = w.rstrip(EDGES).lstrip(BEFORE).translate(FOLD)
             parts = {*self.restore.segments(self.restore.lattice(whole, True)), *PLAIN.findall(core)}
             found = tuple(x for x in dict.fromkeys([*self.restore.read(whole), *sorted(parts)]) if x)
         if w[:1] in "!|" and core.isalpha():
@@ -344,22 +357,23 @@ def fit(rows: list[tuple[str, int]], trigrams: np.ndarray, steps: int = 300) ->
         (pos if v else neg).update(s)
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = {f: np.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (neg[f] + 0.5)) for f, a in pos.items() if a >= 4}
-    names = sorted((f for f, o in odds.items() if o > 1.6), key=lambda f: (-odds[f] * np.sqrt(pos[f]), f))[:MAX_FEATURES]
+    names = sorted(f for f, o in odds.items() if o > 1.6)
     index = {f: k for k, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for k, s in enumerate(sets):
-        x[k, [index[f] for f in s if f in index]] = 1
+    found = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets]
     # Copies of label 1's rows with most features left out: one restored word has to tell as much as many.
     rng = np.random.default_rng(11)
-    ones = np.flatnonzero(y == 1)
-    thin = np.concatenate([x[ones] * (rng.random((len(ones), len(names))) < keep) for keep in (0.5, 0.25)])
-    thin = thin[thin.any(axis=1)]
-    x, y = np.concatenate([x, thin]), np.concatenate([y, np.ones(len(thin))])
+    for keep in (0.5, 0.25):
+        thin = [found[k][rng.random(len(found[k])) < keep] for k in np.flatnonzero(y[: len(rows)] == 1)]
+        found += [t for t in thin if len(t)]
+    y = np.concatenate([y, np.ones(len(found) - len(y))])
+    # Features of all rows one after another; most rows hold few of them.
+    cols, line = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
     w, offset = np.zeros(len(names)), prior
     m, v2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
-        d = (1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30))) - y) / len(y)
-        g = np.append(x.T @ d + 2e-5 * w, d.sum())
+        z = np.bincount(line, w[cols], len(y)) + offset
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = np.append(np.bincount(cols, d[line], len(names)) + 2e-5 * w, d.sum())
         m += 0.1 * (g - m)
         v2 += 0.01 * (g * g - v2)
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.99**step)) + 1e-9)
