@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger: every rule is evaluated once, policies are applied to the stored bits.
 
-`measure` reads each whole text once and stores measurements; `ledger` turns them into failure bits; `apply_policy`
-decides by a versioned mask without touching texts again; `ablation` counts, from a histogram of masks alone, what
-each rule of a policy rejects by itself and what would come back without it.
+`measure` reads each whole text once; `ledger` stores measurements and failure bits in a table; `apply_policy` decides by
+a versioned mask without touching texts again; `ablation` counts, from a histogram of masks alone, what each rule of a
+policy rejects by itself and what would come back without it. Rules are written once, for columns and arrays alike.
 
 Nulls: a null text has no words. Empty table: empty results. Repeated rows are measured one by one. Extra columns of
 the input are not carried into the ledger; `filter_documents` keeps them all and adds none. Ties do not arise.
@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_schema, per_batch, prepare, strings, table
+from .common import documents_schema, per_batch, prepare, strings, table, written
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -80,19 +80,15 @@ def measure(docs: DataFrame) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def c(name: str) -> Column:
-    return F.col(name)
-
-
-#: Rule k sets bit k of `failed`. Each reads measurements only.
+#: Rule k sets bit k of `failed`. Each reads measurements only, as columns or as arrays.
 RULES = {
-    "few_words": lambda: c("n_words") < 50,
-    "repeated_spans": lambda: 100 * c("n_repeat_words") > 50 * c("n_words"),
-    "symbol_heavy": lambda: 100 * c("n_symbols") > 8 * c("word_chars"),
-    "repeated_lines": lambda: 100 * c("n_dup_lines") > 50 * c("n_lines"),
-    "odd_word_length": lambda: (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 25 * c("n_words")),
-    "mostly_capitals": lambda: 100 * c("n_upper") > 60 * c("n_letters"),
-    "shouting": lambda: 100 * c("n_shout") > 30 * c("n_words"),
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_spans": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbol_heavy": lambda m: 100 * m["n_symbols"] > 8 * m["word_chars"],
+    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+    "odd_word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"]),
+    "mostly_capitals": lambda m: 100 * m["n_upper"] > 60 * m["n_letters"],
+    "shouting": lambda m: 100 * m["n_shout"] > 30 * m["n_words"],
 }
 BIT = {name: 1 << k for k, name in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_spans"]
@@ -104,14 +100,19 @@ POLICIES = {
 CURRENT = 2
 
 
-def ledger(measured: DataFrame) -> DataFrame:
+def with_bits(measured: DataFrame) -> DataFrame:
     """Measurements and one failure bit per rule, each evaluated once."""
-    bits = F.lit(0)
+    bits, m = F.lit(0), {name: F.col(name) for name in MEASURES}
     for name, fails in RULES.items():
-        bits = bits.bitwiseOR(F.when(F.coalesce(fails(), F.lit(False)), BIT[name]).otherwise(0))
+        bits = bits.bitwiseOR(F.when(F.coalesce(fails(m), F.lit(False)), BIT[name]).otherwise(0))
     return measured.withColumn("failed", bits.cast("int"))
 
 
+def ledger(docs: DataFrame) -> DataFrame:
+    """The written ledger of docs: doc_id, MEASURES and failed."""
+    return written(with_bits(measure(docs)), "ledger")
+
+
 def apply_policy(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     return rows.withColumns(
         {
@@ -131,7 +132,7 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     alone = F.col("bits") == F.col("bit")
     return (
         rules.join(F.broadcast(counts), F.lit(True), "left")
-        .groupBy("rule")
+        .groupBy("rule", "bit")
         .agg(
             F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_rejected"),
             F.coalesce(F.sum(F.when(alone, F.col("n"))), F.lit(0)).alias("n_rejected_alone"),
@@ -140,39 +141,31 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
-def filter_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The rows that a policy keeps, with the columns of docs."""
-    mask = POLICIES[version]
+def failed_bits(texts: list[str]) -> np.ndarray:
+    """The failure bits of texts, by the same rules on arrays."""
+    got = np.array([measure_text(t) for t in texts], np.int64).reshape(-1, len(MEASURES))
+    m = {name: got[:, k] for k, name in enumerate(MEASURES)}
+    return sum(fails(m).astype(np.int64) * BIT[name] for name, fails in RULES.items())
 
-    def keeps(text: str) -> bool:
-        m = dict(zip(MEASURES, measure_text(text)))
-        return not failed_bits(m) & mask
 
-    at = docs.columns.index("text")
+def filter_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The rows that a policy keeps, with the columns of docs, decided while they are read."""
+    mask, at = POLICIES[version], docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array([keeps(t) for t in strings(b.column(at))], pa.bool_()))
+                yield b.filter(pa.array(failed_bits(strings(b.column(at))) & mask == 0))
 
     return docs.mapInArrow(run, documents_schema(docs))
 
 
-def failed_bits(m: dict[str, int]) -> int:
-    """The same rules on one text's measurements, for stages that filter while they read."""
-    fails = (
-        m["n_words"] < 50,
-        100 * m["n_repeat_words"] > 50 * m["n_words"],
-        100 * m["n_symbols"] > 8 * m["word_chars"],
-        100 * m["n_dup_lines"] > 50 * m["n_lines"],
-        m["word_chars"] < 2 * m["n_words"] or m["word_chars"] > 25 * m["n_words"],
-        100 * m["n_upper"] > 60 * m["n_letters"],
-        100 * m["n_shout"] > 30 * m["n_words"],
-    )
-    return sum(1 << k for k, x in enumerate(fails) if x)
-
-
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: the failure bits, the policy, and where one rule alone rejects the document, that
+    rule and how many documents it alone rejects."""
     prepare(spark)
-    rows = apply_policy(ledger(measure(table(spark, sf_dir, "documents"))))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
+    rows = ledger(table(spark, sf_dir, "documents"))
+    alone = ablation(rows).select(F.col("rule").alias("only_rule"), F.col("n_rejected_alone"), F.col("bit"))
+    decided = apply_policy(rows).withColumn("_bits", F.col("failed").bitwiseAND(POLICIES[CURRENT]))
+    out = decided.join(F.broadcast(alone), F.col("_bits") == F.col("bit"), "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy", "only_rule", "n_rejected_alone")
