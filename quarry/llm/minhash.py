@@ -11,7 +11,8 @@ A pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^24 = 3e-6
 
 Nulls: a null text has no words; documents without words have an empty set and are linked with nothing. Rows with a
 null doc_id have no id to be linked by and come back with null component and kept. Fewer words than a shingle: the
-whole sequence is one shingle. Rows that repeat a doc_id are one node, linked through any of their texts. Ties cannot
+whole sequence is one shingle. Rows that repeat a doc_id are one node, linked through any of
+their texts: while links are sought, each different set of such an id goes by an id of its own. Ties cannot
 arise: a component is named by its least id. An empty table gives an empty result; extra columns are ignored; very
 long texts take memory in proportion to themselves.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch, prepare, release, strings, table, written
+from .common import fresh, per_batch, prepare, release, strings, table, written
 from .components import components
 
 WORDS, PERCENT = 4, 80
@@ -37,6 +38,8 @@ MARGIN = 0.2
 #: margin of their estimates (four and a half standard deviations).
 FINE_HASHES, FINE_MARGIN = 768, 0.07
 BLOCK = 2048
+#: Pairs of one document that a task may get; beyond them its text is dealt to more tasks.
+HUB_PAIRS = 500
 
 _rng = np.random.default_rng(20240501)
 BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -140,6 +143,18 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
+def digests(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text, and the digest of the set of each row (null for empty sets)."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets = [shingles(t, words) for t in strings(b.column(1))]
+        d1 = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
+        d2 = [int(mixed(s ^ BASE).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
+        return {"doc_id": b.column(0), "text": b.column(1), "d1": d1, "d2": d2}
+
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, text string, d1 long, d2 long")
+
+
 def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and FINE_HASHES packed minima of the documents in ids (doc_id). docs: doc_id, text."""
 
@@ -151,10 +166,16 @@ def fine_signatures(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. texts: doc_id and text of all that occur in pairs."""
+    """Those pairs (a, b) whose full sets are similar enough. pairs: a written table; texts: doc_id and text of all
+    that occur in it. The text of a document that is b of many pairs (the least of a large group) goes to several
+    tasks, each with some of the pairs."""
+    hubs = pairs.groupBy(F.col("b").alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > HUB_PAIRS)
+    hubs = written(hubs.select("_h", F.ceil(F.col("_n") / HUB_PAIRS).cast("int").alias("_parts")), "hubs")
+    salted = pairs.join(hubs, F.col("b") == F.col("_h"), "left").select("a", "b", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("a"), F.col("_parts"))).otherwise(0).cast("int").alias("_salt"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
+    right = texts.join(hubs, F.col("doc_id") == F.col("_h"), "left")
+    right = right.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt"))
+    both = salted.join(left, "a").join(right.hint("merge"), ["b", "_salt"]).select("a", "b", "_x", "_y")
 
     def run(b: pa.RecordBatch) -> dict:
         keep, held = [], {}
@@ -186,15 +207,58 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = written(sketches(rows, words), "sketch")
+    sets = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("_x"), F.max(F.struct("d1", "d2")).alias("_y"))
+    several = written(sets.where("_x <> _y").select("doc_id"), "several")
+    if several.isEmpty():
+        out = linked(rows, sketch, words, percent)
+    else:
+        out = linked_with_repeats(rows, sketch, several, words, percent)
+    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def linked_with_repeats(docs: DataFrame, sketch: DataFrame, several: DataFrame, words: int, percent: int) -> DataFrame:
+    """`linked` where some ids (several: doc_id) have several different sets, each of which gets an id of its own that
+    nothing else has; then components that hold sets of one id are one."""
+    sets = sketch.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct()
+    seed = 0
+    while True:
+        own = written(sets.withColumn("node", F.xxhash64(F.lit(seed), "doc_id", "d1", "d2")), "nodes")
+        clash = own.groupBy("node").count().where("count > 1").select("node").union(own.join(sketch.select(F.col("doc_id").alias("node")), "node", "left_semi").select("node"))
+        if clash.isEmpty():
+            break
+        seed += 1
+    keyed = ["doc_id", "d1", "d2"]
+    marked = sketch.join(own, keyed, "left")
+    theirs = marked.select(F.coalesce("node", "doc_id").alias("doc_id"), "n_shingles", "d1", "d2", "bands", "sig")
+    texts = docs.join(several, "doc_id", "left_semi")
+    again = digests(texts, words).join(own, keyed, "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+    rest = docs.join(several, "doc_id", "left_anti")
+    found = written(linked(rest.union(again), written(theirs, "sketch"), words, percent), "linked")
+    real = own.select(F.col("doc_id").alias("_real"), F.col("node").alias("_node"))
+    named = found.join(real, F.col("doc_id") == F.col("_node"), "left").select(F.coalesce("_real", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("_c"))
+    named = written(named, "linked")
+    theirs = named.join(several, "doc_id", "left_semi").select("doc_id", "_c").distinct()
+    joined = theirs.join(theirs.groupBy("doc_id").agg(F.min("_c").alias("b")), "doc_id").select(F.col("_c").alias("a"), "b").distinct()
+    over = components(joined, "repeats")
+    whole = named.join(over, F.col("_c") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "_c").alias("_c"))
+    whole = written(whole, "linked")
+    least = whole.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    known = whole.where("_c IS NOT NULL").join(least, "_c").select("doc_id", "n_shingles", "component_id")
+    return known.union(whole.where("_c IS NULL").select("doc_id", "n_shingles", F.col("_c").alias("component_id")))
+
+
+def linked(docs: DataFrame, sketch: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; an id has one set of shingles at most."""
     spark = docs.sparkSession
     least = percent / 100 - MARGIN
-    sketch = written(sketches(docs, words), "sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = full.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1")
     shared = written(groups.select("_d1", "_d2", "_rep"), "classes")
     rep = F.coalesce("_rep", "doc_id")
     member = sketch.join(shared, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
-    members = written(member.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, rep).otherwise(F.col("doc_id")).alias("rep")), "members")
+    members = written(member.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), rep).otherwise(F.col("doc_id")).alias("rep")), "members")
     first = member.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (rep == F.col("doc_id"))).select("doc_id", "bands", "sig")
     reps = written(first, "representatives")
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
@@ -205,8 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sa, sb = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     star = written(hits.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "star")
     # Whole texts are dealt once: later steps read only those that share a band with another class.
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = written(whole.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = written(docs.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     release(spark)
     links = confirmed(written(likely(star.join(sa, "a").join(sb, "b"), least), "likely"), texts, words, percent)
     release(spark)
@@ -254,8 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         label = components(links)
     release(spark)
     of = written(label.select(F.col("node").alias("rep"), "component"), "components")
-    out = members.join(of, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return members.join(of, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def filter_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -263,8 +325,9 @@ def filter_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Rows with a null doc_id are kept: nothing can be said of them.
     """
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi")
+    key = fresh(docs, "_id")
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    known = docs.join(kept, docs["doc_id"].cast("long") == F.col(key), "left_semi")
     return known.union(docs.where(docs["doc_id"].isNull()))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_schema, per_batch, prepare, release, strings, table, written
+from .common import documents_schema, fresh, per_batch, prepare, release, strings, table, written
 from .minhash import BASE, mixed
 
 SPAN, GRAM = 50, 12
@@ -343,10 +343,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with an array of its spans in the column `_spans`."""
+    """docs with an array of its spans as one more, last column."""
+    key, name = fresh(docs, "_id"), fresh(docs, "_spans")
     spans = repeated_spans(docs)
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return docs.join(lists, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+    return docs.join(lists, docs["doc_id"].cast("long") == F.col(key), "left").drop(key)
 
 
 def cut(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
