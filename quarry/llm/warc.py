@@ -20,6 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,9 +35,9 @@ MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2020-01-01T00:00:00Z"
 SPACE = 0x7175617272798000 << 64  # upper half of record ids
 NO_ID = 0x7175617272798001 << 64
+INFO = b"software: quarry\r\nformat: WARC File Format 1.1\r\n"
 
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORD = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
@@ -54,14 +55,20 @@ def id_of_urn(urn: str) -> int | None:
     return low - (1 << 64) if low >> 63 else low
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, revisit: bool) -> bytes:
+def info_bytes(name: str, date: str) -> bytes:
+    """The record that opens a file."""
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(INFO)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + INFO + b"\r\n\r\n"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record; the payload's own digest and length are always in its headers."""
     block = HTTP_HEAD + (b"" if revisit else payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_urn(page_id)}",
-        f"WARC-Date: {DATE}",
+        f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {''.join(x for x in url if x >= ' ')}"] if url else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -91,8 +98,10 @@ def resolved(records: DataFrame) -> DataFrame:
     return out.select(*r.columns, F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes resolved records under folder; returns the manifest as a written table."""
+def write_archives(rows: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Writes resolved records under folder; returns the manifest as a written table. All headers bear one date, that
+    of the call, so a task that runs again writes the same. Every file opens with a warcinfo record."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -112,7 +121,10 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             for i, url, payload, digest, length, refers, revisit in zip(*(b.column(c).to_pylist() for c in range(7))):
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}-{len(done):04d}.warc.gz", compression=None)
-                member = gzip_member(record_bytes(i, url, b"" if revisit else payload, digest, length, refers, revisit))
+                    member = gzip_member(info_bytes(f"{name}-{len(done):04d}.warc.gz", date))
+                    out.write(member)
+                    size += len(member)
+                member = gzip_member(record_bytes(i, url, b"" if revisit else payload, digest, length, refers, revisit, date))
                 out.write(member)
                 n += 1
                 size += len(member)
@@ -177,6 +189,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 held = 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for head, block in records_of(stream):
+                        if head["warc-type"] == "warcinfo":
+                            continue
                         digest, length = head["warc-payload-digest"].removeprefix("sha256:"), int(head["x-payload-length"])
                         kind, payload, refers = head["warc-type"], None, None
                         if kind == "response":
