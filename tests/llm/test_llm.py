@@ -1,9 +1,11 @@
 """Each operator against brute force on small rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quarry.llm import bpe, classifier, edit_counts, knn, minhash, packing, rules, suffixes, toxicity, warc
-from quarry.llm.common import new_path, written
+from quarry.llm.common import labelled_sample, new_path, written
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 LETTERS = "abctheing ,.é1!\n  's  日本ß \t"
@@ -170,6 +172,58 @@ def test_packing_keeps_every_capacity():
         assert all(sum(s) <= 100 and len(s) <= 4 and sum(x * x for x in s) <= cap.attention for s in seq.values())
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_places_as_one_by_one(rule):
+    """Placing the histogram gives the bins that placing every piece by itself gives."""
+    r = random.Random(12)
+    for _ in range(80):
+        sizes = sorted((r.choice([r.randint(1, 100), r.choice([7, 20, 33, 50])]) for _ in range(r.randint(1, 60))), reverse=True)
+        cap = packing.Capacity(100, r.randint(2, 6), max(max(sizes) ** 2, r.randint(2500, 10000)), (1.0, r.random(), r.random()), rule)
+        weights = np.array(cap.weights) / np.array([cap.tokens, cap.documents, cap.attention], float)
+        bins: list[list[int]] = []
+        for n in sizes:
+            need = np.array([n, 1, n * n])
+            fits = [b for b in bins if all(x >= y for x, y in zip(b[:3], need))]
+            if fits:
+                cost = packing.badness(np.array([b[:3] for b in fits]), need, weights, rule)
+                best = min((b for b, c in zip(fits, cost) if c == cost.min()), key=lambda b: b[:3])
+            else:
+                best = [cap.tokens, cap.documents, cap.attention]
+                bins.append(best)
+            best[:3] = [x - int(y) for x, y in zip(best[:3], need)]
+            best.append(n)
+        seq: dict[int, list[int]] = {}
+        for length, _, n, per, base, _ in packing.best_fit(dict(Counter(sizes)), cap).tolist():
+            for k in range(n):
+                seq.setdefault(base + k // per, []).append(length)
+        assert sorted(sorted(b[3:]) for b in bins) == sorted(sorted(s) for s in seq.values())
+
+
+def brute_top(vectors, queries, k):
+    return {q: [(j + 1, i, s) for j, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(vectors[q], x)), i) for i, x in vectors.items() if i != q), key=lambda y: (-y[0], y[1]))[:k])] for q in queries}
+
+
+@pytest.mark.parametrize("size", [1e3, 9e4, 6e6])
+def test_knn_is_exact_for_large_components(spark, size):
+    """Whole numbers above 2^53 and many near ties; beyond a long's range it says so."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=8)
+    v = {i: np.floor(64 * (base * size + r.integers(-2, 3, 8))).tolist() for i in range(240)}
+    data = spark.createDataFrame([(i, [x / 64 for x in c]) for i, c in v.items()], "vec_id long, embedding array<double>")
+    w = written(knn.whole_vectors(data), "vectors")
+    got = {}
+    for x in knn.top_k(w, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    whole = {i: [int(x) for x in c] for i, c in v.items()}
+    assert {q: sorted(x) for q, x in got.items()} == brute_top(whole, [i for i in v if i % 20 == 0], 20)
+
+
+def test_knn_refuses_scores_beyond_a_long(spark):
+    data = spark.createDataFrame([(1, [1e9] * 8)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        knn.whole_vectors(data).collect()
+
+
 def test_knn(spark):
     r = np.random.default_rng(1)
     v = [[float(x) for x in r.normal(size=8)] for _ in range(300)]
@@ -208,6 +262,26 @@ def test_near_duplicates(spark, docs, rows):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each text of a repeated id links, so the id joins what they are near to."""
+    r = random.Random(13)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(120)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 0), (2, a + " end", 0), (3, b + " end", 0), (4, c, 0), (4, "", 0), (5, c + " end", 0), (6, "alone", 0), (None, a, 0), (1, a, 1), (7, None, 0)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, node int")).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (None, None), (7, 7)}
+    kept = minhash.filter_documents(spark.createDataFrame(rows, "doc_id long, text string, _id int"))
+    assert kept.columns == ["doc_id", "text", "_id"] and {x.doc_id for x in kept.collect()} == {1, 4, 6, 7, None}
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_PAIRS", 5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(60)] + [(99, "other text here")]
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {x.component_id for k, x in got.items() if k < 60} == {0} and got[99].kept
+
+
 def brute_spans(rows):
     seen, out = set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -237,20 +311,41 @@ def test_deep_shallow_order():
 
 
 def test_rules(spark, docs, rows):
-    got = by_id(rules.apply_policy(rules.ledger(rules.measure(docs))))
+    book = rules.ledger(docs)
+    got = by_id(rules.apply_policy(book))
     for i, t in rows:
         if i is None:
             continue
         words = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
         tri = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
-        cover = {k + j for k, x in enumerate(tri) if tri.count(x) > 1 for j in range(3)} if len(words) < 1000 else None
+        often = Counter(tri)
+        cover = {k + j for k, x in enumerate(tri) if often[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
         m = got[i]
         assert m.n_words == len(words) and m.word_chars == sum(map(len, words))
-        assert cover is None or m.n_repeat_words == len(cover)
-        assert m.failed == rules.failed_bits({k: m[k] for k in rules.MEASURES})
-        assert m.base_failed == (m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words)
-    a = {r["rule"]: r for r in rules.ablation(rules.ledger(rules.measure(docs))).collect()}
-    assert a["few_words"].n_rejected == sum(1 for i, t in rows if len((t or "").split()) < 50)
+        assert m.n_repeat_words == len(cover)
+        assert m.n_symbols == sum(x in "#*$%&|<>" for x in t or "") and m.n_dup_lines == len(lines) - len(set(lines))
+        n, upper, letters = len(words), sum("A" <= x <= "Z" for x in t or ""), sum(x.isascii() and x.isalpha() for x in t or "")
+        fails = [
+            n < 50, 100 * len(cover) > 50 * n, 100 * m.n_symbols > 8 * m.word_chars, 100 * m.n_dup_lines > 50 * len(lines),
+            m.word_chars < 2 * n or m.word_chars > 25 * n, 100 * upper > 60 * letters, 100 * (t or "").count("!!") > 30 * n,
+        ]
+        assert m.failed == sum(1 << k for k, x in enumerate(fails) if x) == rules.failed_bits([t or ""])[0]
+        assert m.base_failed == (fails[0] or fails[1]) and m.kept == (not any(fails))
+    bits = [r.failed & rules.POLICIES[rules.CURRENT] for r in book.collect()]
+    for a in rules.ablation(book).collect():
+        want = sum(1 for b in bits if b & a.bit), sum(1 for b in bits if b == a.bit), sum(1 for b in bits if b in (0, a.bit))
+        assert (a.n_rejected, a.n_rejected_alone, a.n_kept_without) == want
+    assert rules.ledger(docs.limit(0)).count() == 0 and rules.filter_documents(docs).columns == docs.columns
+
+
+def test_rules_see_every_part_of_a_text(spark):
+    bad = ["the words of a text " * 30 + x for x in ("", "# " * 400, "A" * 4000, "!! " * 200, "\nsame line" * 300, "y " * 900)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(bad)], "doc_id long, text string")
+    failed = by_id(rules.ledger(d))
+    assert failed[0].failed == rules.BIT["repeated_spans"]
+    for k, name in enumerate(("symbol_heavy", "mostly_capitals", "shouting", "repeated_lines", "odd_word_length"), 1):
+        assert failed[k].failed & rules.BIT[name], name
 
 
 def test_classifier_learns_on_held_out_rows():
@@ -297,6 +392,167 @@ def test_toxicity_finds_words_in_spaced_runs():
     assert "idiot" in read("ther.on," * 1000 + "a1b2" * 500 + ",1d10t")
 
 
+def test_convolution_equals_its_definition():
+    """Look-ups, halves and blocks against a convolution over one-hot bytes, chunk by overlapping chunk."""
+    r = np.random.default_rng(3)
+    net = classifier.fit([])
+    net.dense[:] = r.normal(size=net.dense.shape)
+    net.bias[:] = r.normal(size=net.bias.shape)
+    for text in ("a", "abcd", "short text", "x" * 255, "é" * 700, "".join(chr(97 + k) for k in r.integers(0, 26, 40_000))):
+        x = np.frombuffer(text.encode().ljust(classifier.WIDTH, b"\0"), np.uint8)
+        n = len(x) - classifier.WIDTH + 1
+        hot = np.eye(256, dtype=np.float32)
+        full = np.array([sum(hot[x[i + k]] @ net.taps[k] for k in range(classifier.WIDTH)) for i in range(n)]) if n < 3000 else sum(net.taps[k][x[k : k + n]] for k in range(classifier.WIDTH))
+        starts = range(0, max(1, n - classifier.HALF), classifier.HALF)
+        top = np.array([np.maximum(full[s : s + classifier.CHUNK].max(axis=0) + net.bias, 0) for s in starts])
+        z = float(np.concatenate([top.max(axis=0), top.mean(axis=0)]) @ net.dense) + net.offset
+        assert abs(net.probability(text) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
+
+
+def test_classifier_scores_tables(spark):
+    net = classifier.fit([("good words of a text " * 9, 1), ("%%% ### " * 9, 0)] * 8, epochs=2)
+    rows = [(1, "good words", "a"), (1, "good words", "b"), (2, None, "c"), (3, "", None), (None, "x", "d"), (4, "%%% " * 200_000, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = classifier.score(d, net).collect()
+    assert len(got) == 6 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got)
+    assert {x.held_out for x in got if x.doc_id is not None} == {zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2, 3, 4)}
+    assert len({x.score for x in got if x.doc_id in (2, 3)}) == 1
+    kept = classifier.filter_documents(d, net)
+    assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(str(x) for x in d.collect() if net.probability(x.text or "") >= 0.3)
+    assert classifier.score(d.limit(0), net).count() == 0
+
+
+def test_labelled_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 40, "x" * (k % 7) + str(k // 40)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 1000)
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert len(got) == len(ids) and len(labelled_sample(docs, labels, "toxic", 7)) <= 7
+    assert sum(len(t) for t, _ in labelled_sample(docs, labels, "toxic", 1000, most_bytes=30)) <= 30
+    assert labelled_sample(docs.limit(0), labels, "toxic", 9) == [] == labelled_sample(docs, labels.limit(0), "toxic", 9)
+
+
+def language_model():
+    x = toxicity.triples("the idiot is on the thin air near a clown and other persons then " * 50)
+    return toxicity.log_model(x)
+
+
+def test_viterbi_equals_all_readings():
+    """The best readings are those of all strings of the lattice, each scored by itself."""
+    r, lm = random.Random(14), language_model()
+    restore, n = toxicity.Restorer(lm), toxicity.N_CLASSES
+    flat = lm.reshape(-1)
+
+    def cost(word):
+        c = [0, 0, *[ord(x) - 96 if "a" <= x <= "z" else n - 1 for x in word], 0]
+        return sum(flat[(a * n + b) * n + d] for a, b, d in zip(c, c[1:], c[2:]))
+
+    for _ in range(150):
+        word = "".join(r.choice("idot1!0@$nnaéx*.8-") for _ in range(r.randint(1, 6)))
+        best: dict[str, float] = {}
+        for way in itertools.product(*restore.lattice(word)):
+            read = "".join(x for x, _ in way)
+            best[read] = max(best.get(read, -np.inf), cost(read) - sum(x for _, x in way))
+        order = sorted(best.values(), reverse=True)
+        got = restore.read(word, 1)
+        assert abs(best[got[0]] - order[0]) < 1e-9
+        assert all(best[x] >= order[min(len(order), toxicity.READINGS) - 1] - 1e-9 or len(order) <= toxicity.READINGS for x in restore.read(word)[:1])
+
+
+def test_words_without_letters_and_folded_letters_are_read():
+    lm = language_model()
+    assert "idiot" in toxicity.Reader(lm).words("say 1d107 or !0!07 or 1|)") or "idiot" in toxicity.Reader(lm).words("1(!07") or toxicity.Reader(lm).words("7#3 @!(") != set()
+    assert "the" in toxicity.Reader(lm).words("7#3")
+    assert toxicity.Reader(lm).words("§§§ 12:30 ---") == set()
+    assert toxicity.classes("Éa ßz—日").tolist() == [5, 1, 0, 27, 26, 0, 27]
+
+
+def test_toxicity_scores_tables(spark):
+    words = "thin air near other persons on then the"
+    train = [(words + (" idiot clown" if k % 2 else " and a"), k % 2) for k in range(40)]
+    m = toxicity.fit(train, language_model())
+    rows = [(1, "an 1d10t", "a"), (1, "an 1d10t", "b"), (2, None, "c"), (3, "", None), (None, words, "d"), (4, words * 20_000 + " idiot clown", "e")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, predicted string"), m).collect()
+    assert len(got) == 6 and {(x.doc_id, x.predicted) for x in got} == {(1, 1), (2, 0), (3, 0), (None, 0), (4, 1)}
+    assert toxicity.trigram_counts(spark.createDataFrame([], "text string")).sum() == 0
+    assert toxicity.fit([], language_model()).probability("x") == 0.5
+
+
+def test_archives_open_with_their_own_record(spark):
+    import gzip
+
+    pages = spark.createDataFrame([(k, "u", "<p>" * 50) for k in range(3)] + [(0, "u", "<p>" * 50)], "page_id long, url string, html string")
+    folder = new_path(spark, "archives")
+    m = warc.write_archives(warc.resolved(pages.withColumn("payload", F.col("html").cast("binary"))), folder, "2021-02-03T04:05:06Z")
+    for f in m.collect():
+        data = gzip.decompress(open(f.path, "rb").read())
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and data.count(b"WARC-Date: 2021-02-03T04:05:06Z") == f.n_records + 1
+    got = warc.read_archives(m, folder).collect()
+    assert sorted((r.page_id, r.record_type) for r in got) == [(0, "response"), (0, "response"), (1, "revisit"), (2, "revisit")]
+    empty = warc.write_archives(warc.resolved(pages.limit(0).withColumn("payload", F.col("html").cast("binary"))), new_path(spark, "archives"))
+    assert warc.read_archives(empty, folder).count() == 0
+
+
+def clashing(df):
+    """Columns named as the stages name their own."""
+    names = ["_id", "_ID_", "_spans", "node", "component_id", "kept", "rep", "score", "failed", "_t"]
+    return df.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    d = clashing(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, d, sf), stage(spark, d.limit(0), sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == d.columns, name
+            assert out.count() <= 60 and none.columns == d.columns
+        assert none.count() == 0, name
+
+
+def test_pipeline_equals_brute_force(spark, rows):
+    """Every stage after the learned one, on whole texts, against plain Python; the classifier against its own scores."""
+    from quarry.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    net = classifier.trained(d, table(spark, sf, "labels"))
+    now = {r.doc_id: r.text for r in d.collect()}
+    assert len(now) == d.count()
+    now = {i: t for i, t in now.items() if net.probability(t or "") >= 0.3}
+    now = {i: t for i, t in now.items() if not rules.failed_bits([t or ""])[0] & rules.POLICIES[rules.CURRENT]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in now.items() for w in [(t or "").encode().lower().split()]}
+    parent = {i: i for i in now}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(now), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    now = {i: t for i, t in now.items() if find(i) == i}
+    seen, cut = set(), {}
+    for i in sorted(now):
+        b = (now[i] or "").encode()
+        hit, new = np.zeros(len(b), bool), set()
+        for k in range(len(b) - 49):
+            hit[k : k + 50] |= b[k : k + 50] in seen
+            new.add(b[k : k + 50])
+        seen |= new
+        cut[i] = np.frombuffer(b, np.uint8)[~hit].tobytes().decode("utf-8", "ignore")
+    out = d
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, out, sf), "stage")
+    assert {r.doc_id: r.text or "" for r in out.collect()} == cut
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, sf).collect()
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in cut.items()}
+    assert {i: sum(r.length for r in g) for i, g in ((i, [r for r in packed if r.doc_id == i]) for i in cut)} == want
+
+
 def test_pipeline_keeps_columns(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
