@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,11 +78,79 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *parts), 256)
 
 
+def _per_text(make: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function of single texts as a column function over Arrow batches, for what counts bytes."""
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(make, na_action="ignore")
+
+    return apply
+
+
+def cut_bytes(text: str, most: int) -> bytes:
+    """The first bytes of a text, whole characters only."""
+    data = text.encode()[: max(most, 0)]
+    return data.decode("utf-8", "ignore").encode()
+
+
+def excerpt_of(text: str, most: int) -> str:
+    """At most `most` bytes, cut back to white space where some is among the last 16, trimmed, with an ellipsis."""
+    if len(text.encode()) <= most:
+        return text
+    head = cut_bytes(text, most)
+    for i in range(len(head) - 1, max(len(head) - 17, 0), -1):
+        if head[i : i + 1] in (b" ", b"\n", b"\t"):
+            head = head[:i]
+            break
+    return head.decode().strip() + "…"
+
+
 def excerpt(text: Column, most: int) -> Column:
-    """At most `most` characters, cut back to a space where one is among the last 16, with an ellipsis."""
-    head = F.substring(text, 1, most)
-    back = F.regexp_replace(head, r"\s\S{0,15}$", "")
-    return F.when(F.length(text) <= most, F.trim(text)).otherwise(F.concat(F.trim(back), F.lit("…")))
+    return _per_text(lambda t: excerpt_of(t, most))(text)
+
+
+def context_of(text: str, n_sources: int, each: int = 10_000, total: int = 30_000) -> str:
+    """A source's share of what a model reads: so many bytes each, and in all."""
+    most = min(each, total // max(1, n_sources))
+    if len(text.encode()) <= most:
+        return text
+    return cut_bytes(text, most - 3).decode().strip() + "…" if most >= 3 else ""
+
+
+def context(text: Column, n_sources: int) -> Column:
+    return _per_text(lambda t: context_of(t, n_sources))(text)
+
+
+#: Estimated tokens of an ASCII character and of any other, and the most bytes that are embedded.
+ASCII_TOKENS, WIDE_TOKENS, EMBED_BYTES = 0.35, 1.0, 2500
+
+
+def embed_head_of(text: str, most_tokens: int) -> str:
+    """The beginning of a text that a model of so many tokens takes: up to the character at which the estimate reaches
+    them or the bytes run out, cut back to white space in its second half."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(codes):
+        return text
+    size = 1 + (codes > 0x7F).astype(int) + (codes > 0x7FF) + (codes > 0xFFFF)
+    start = np.cumsum(size) - size
+    tokens = np.cumsum(np.where(codes > 0x7F, WIDE_TOKENS, ASCII_TOKENS))
+    over = np.flatnonzero((tokens >= most_tokens) | (start >= EMBED_BYTES))
+    if not len(over):
+        return text
+    at = int(over[0])
+    white = np.flatnonzero(np.isin(codes[: at + 1], [32, 10, 9, 13]))
+    return text[: int(white[-1])] if len(white) and start[white[-1]] > int(start[at]) // 2 else text[:at]
+
+
+def embed_head(text: Column, most_tokens: int) -> Column:
+    return _per_text(lambda t: embed_head_of(t, most_tokens))(text)
+
+
+def date_bound(text: Column) -> Column:
+    """A time of a full timestamp with a zone, or midnight UTC of a date; null for anything else."""
+    full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text))
+    return F.coalesce(full, F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
 
 
 # Question forms and the words that replace them, the most specific first.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +14,15 @@ from ..functions import text as T
 from ..functions import urls as U
 
 
-def census(docs: DataFrame, by: Column, name: str) -> DataFrame:
-    n = F.size(T.tokens(F.col("text"))).cast("long")
-    return docs.groupBy(by.alias(name)).agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"))
+def census(rows: DataFrame, by: Column, name: str, words: str = "body_len") -> DataFrame:
+    """Documents and their words per value; rows of an index, or any with a column of word counts."""
+    return rows.groupBy(by.alias(name)).agg(F.count("*").alias("n_docs"), F.sum(words).alias("n_tokens"))
+
+
+def listed(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents in the order of their ids, all or the first ones."""
+    ordered = docs.orderBy("doc_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def duplicate_keys(rows: DataFrame, key: str, member: str) -> DataFrame:
@@ -34,17 +44,36 @@ def copies(docs: DataFrame) -> DataFrame:
     return d.join(g, "sha").select("doc_id", "first", "n")
 
 
-def domain_audit(pages: DataFrame, trust: DataFrame | None = None) -> DataFrame:
+def with_authority(hosts: DataFrame, trusted: DataFrame | None = None, ranks: DataFrame | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """Adds domain, n_hosts (distinct hosts of the domain) and score to distinct hosts. Dimensions: trusted (host),
+    ranks (host, rank), flows (host, trust_flow); each is looked up by host, then by domain."""
+    h = hosts.withColumn("domain", U.registered(F.col("host")))
+    siblings = h.groupBy(F.col("domain").alias("_d")).agg(F.count("*").alias("n_hosts"))
+    h = h.join(siblings, F.col("domain") == F.col("_d")).drop("_d")
+    signals: dict[str, Column] = {}
+
+    def looked_up(h: DataFrame, table: DataFrame, value: Column, by_host: str, by_domain: str) -> DataFrame:
+        one = table.select(F.col("host").alias("_k"), value.alias("_v")).groupBy("_k").agg(F.max("_v").alias("_v"))
+        for key, name in (("host", by_host), ("domain", by_domain)):
+            h = h.join(one.select(F.col("_k").alias(f"_k_{name}"), F.col("_v").alias(f"_{name}")), F.col(key) == F.col(f"_k_{name}"), "left").drop(f"_k_{name}")
+            signals[name] = F.col(f"_{name}")
+        return h
+
+    if trusted is not None:
+        h = looked_up(h, trusted, F.lit(True), "trusted_host", "trusted_domain")
+        signals["trusted"] = F.coalesce(signals.pop("trusted_host"), F.lit(False)) | F.coalesce(signals.pop("trusted_domain"), F.lit(False))
+    if ranks is not None:
+        h = looked_up(h, ranks, F.col("rank"), "rank", "domain_rank")
+    if flows is not None:
+        h = looked_up(h, flows, F.col("trust_flow"), "flow", "domain_flow")
+    score = F.round(S.authority(F.col("host"), F.col("domain"), U.tld(F.col("host")), F.col("n_hosts"), signals), 6)
+    return h.withColumn("score", score).select(*hosts.columns, "domain", "n_hosts", "score")
+
+
+def domain_audit(pages: DataFrame, **dimensions: DataFrame) -> DataFrame:
     """Hosts with page counts, sibling hosts, score and class."""
     hosts = pages.groupBy(U.bare_host(F.col("url")).alias("host")).agg(F.count("*").alias("n_pages")).where("host <> ''")
-    hosts = hosts.withColumn("domain", U.registered(F.col("host")))
-    siblings = hosts.groupBy(F.col("domain").alias("_d")).agg(F.count("*").alias("n_hosts"))
-    joined = hosts.join(siblings, F.col("domain") == F.col("_d")).drop("_d")
-    flow = None
-    if trust is not None:
-        joined, flow = joined.join(trust.select(F.col("host").alias("_h"), "trust_flow"), F.col("host") == F.col("_h"), "left").drop("_h"), F.col("trust_flow")
-    score = F.round(S.authority(U.tld(F.col("host")), F.col("n_hosts"), flow), 6)
-    return joined.withColumn("score", score).withColumn("class", S.authority_class(F.col("score"))).select("host", "domain", "n_pages", "n_hosts", "score", "class")
+    return with_authority(hosts, **dimensions).withColumn("class", S.authority_class(F.col("score"))).select("host", "domain", "n_pages", "n_hosts", "score", "class")
 
 
 def listed_terms(text: Column, terms: list[str]) -> Column:
@@ -63,14 +92,31 @@ def flagged(rows: DataFrame, terms: list[str], hosts: list[str], tlds: list[str]
 
 
 def stuffed(docs: DataFrame, span: int = 8, often: int = 3, least_words: int = 160, percent: int = 80) -> DataFrame:
-    """Documents most of whose word spans are occurrences beyond the third. Spans are counted in a shuffle, so the
-    work grows with the words, not with their square."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    d = docs.select("doc_id", words.alias("_w")).where(F.size("_w") >= least_words)
-    at = d.select("doc_id", "_w", (F.size("_w") - span + 1).alias("_n"), F.explode(F.sequence(F.lit(1), F.size("_w") - span + 1)).alias("_i"))
-    rows = at.select("doc_id", "_n", F.array_join(F.slice("_w", F.col("_i"), F.lit(span)), " ").alias("_s"))
-    extra = rows.groupBy("doc_id", "_n", "_s").agg(F.greatest(F.count("*") - often, F.lit(0)).alias("_x"))
-    return extra.groupBy("doc_id", "_n").agg(F.sum("_x").alias("_x")).where(F.col("_x") * 100 >= F.col("_n") * percent).select("doc_id")
+    """Documents most of whose word spans are occurrences beyond the third, counted within each text: no shuffle."""
+
+    def is_stuffed(text: str) -> bool:
+        words = text.lower().encode("utf-8", "replace").split()
+        n = len(words) - span + 1
+        if len(words) < least_words:
+            return False
+        index: dict[bytes, int] = {}
+        a = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        # Runs of 2, 4, 8 words get numbers from the numbers of their halves.
+        width = 1
+        while width < span:
+            pair = a[: len(a) - width] * (int(a.max()) + 1) + a[width:]
+            a = np.unique(pair, return_inverse=True)[1]
+            width *= 2
+        return int(np.maximum(np.bincount(a) - often, 0).sum()) * 100 >= n * percent
+
+    assert span & (span - 1) == 0, "spans are built by doubling"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([is_stuffed(t or "") for t in b.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep)], ["doc_id"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long")
 
 
 def under_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:

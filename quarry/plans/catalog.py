@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import corpus as C
 from ..operators import evaluate as E
+from ..operators import hybrid as H
 from ..operators import index as I
 from ..operators import ops as O
 from ..operators import rank as R
@@ -46,7 +47,7 @@ POST = f"""{DOCS}, tk AS (SELECT doc_id, lang, {tok('title')} AS t, {tok('text')
     wide AS (SELECT doc_id, lang, len(t) + len(b) AS doc_len, unnest(t || t || t || b) AS term FROM tk),
     post AS (SELECT term, doc_id, lang, doc_len, count(*) AS tf FROM wide GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-    stats AS (SELECT count(*) AS n_docs, avg(len(t) + len(b)) AS mean_len, sum(len(t) + len(b))::BIGINT AS n_tokens FROM tk)"""
+    stats AS (SELECT count(*) AS n_docs, avg(len(t) + len(b)) AS mean_len, coalesce(sum(len(t) + len(b)), 0)::BIGINT AS n_tokens FROM tk WHERE len(t) + len(b) > 0)"""
 QT = f"qt AS (SELECT item_id AS query_id, unnest(list_distinct({tok('text')})) AS term FROM benchmark)"
 IDF = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))"
 BM = f"{IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))"
@@ -69,9 +70,9 @@ def asked(t: Tables) -> DataFrame:
 # --- scans, projections, lookups
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id")
 def scan_documents(t):
-    return t.documents.select("doc_id", "lang", "source", "n_chars")
+    return C.listed(t.documents.select("doc_id", "lang", "source", "n_chars"))
 
 
 @query("SELECT d.doc_id, substring(d.text, 1, 500) AS head FROM documents d JOIN labels USING (doc_id)")
@@ -94,16 +95,20 @@ def passages_with_documents(t):
     return t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select("label", "vec_id", "doc_id", "lang")
 
 
+def wanted_ids(t: Tables) -> DataFrame:
+    """A request: a list of ids in its own order, as one row that is taken apart with positions."""
+    ids = t.benchmark.agg(F.sort_array(F.collect_list(F.col("item_id") * 3), asc=False).alias("_ids"))
+    return ids.select(F.posexplode("_ids").alias("_p", "doc_id")).select((F.col("_p") + 1).alias("position"), "doc_id")
+
+
 @query("SELECT row_number() OVER (ORDER BY b.item_id DESC)::INT AS position, b.item_id * 3 AS doc_id, d.doc_id IS NOT NULL AS found, substring(d.text, 1, 100) AS text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3")
 def contents_lookup(t):
-    wanted = t.benchmark.select(F.row_number().over(Window.orderBy(F.desc("item_id"))).alias("position"), (F.col("item_id") * 3).alias("doc_id"))
-    return C.fetched(wanted, t.documents, 100)
+    return C.fetched(wanted_ids(t), t.documents, 100)
 
 
 @query("SELECT row_number() OVER (ORDER BY b.item_id DESC)::INT AS position, b.item_id * 3 AS doc_id, d.doc_id IS NOT NULL AS found, d.text AS text FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 3")
 def contents_whole(t):
-    wanted = t.benchmark.select(F.row_number().over(Window.orderBy(F.desc("item_id"))).alias("position"), (F.col("item_id") * 3).alias("doc_id"))
-    return C.fetched(wanted, t.documents)
+    return C.fetched(wanted_ids(t), t.documents)
 
 
 # --- index
@@ -116,17 +121,17 @@ def tokenize_terms(t):
 
 @query(f"WITH {POST} SELECT term, doc_id, doc_len, tf FROM post")
 def postings(t):
-    return I.postings(docs(t)).select("term", "doc_id", "doc_len", "tf")
+    return t.index.postings.select("term", "doc_id", "doc_len", "tf")
 
 
 @query(f"WITH {POST} SELECT term, df FROM df")
 def term_doc_freq(t):
-    return I.doc_freq(I.postings(docs(t)))
+    return t.index.terms
 
 
 @query(f"WITH {POST} SELECT n_docs, round(mean_len, 6) AS mean_len, n_tokens FROM stats")
 def corpus_stats(t):
-    return I.corpus_stats(docs(t)).withColumn("mean_len", F.round("mean_len", 6))
+    return t.index.stats.withColumn("mean_len", F.round("mean_len", 6))
 
 
 @query(r"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '\s+') IF x <> ''] AS w FROM documents),
@@ -141,27 +146,51 @@ def chunk_words(t):
 
 @query(f"WITH {SCORED} {top_sql('scored', 10)}")
 def bm25_batch(t):
-    return V.bm25(asked(t), docs(t))
+    return V.bm25(asked(t), t.index)
 
 
 @query(f"WITH {POST}, {QT}, scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM qt JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) WHERE lang = 'en' GROUP BY 1, 2) {top_sql('scored', 10)}")
 def bm25_in_lang(t):
-    d = docs(t).select("doc_id", "title", "text", "lang")
-    return V.bm25(asked(t), d, where=F.col("lang") == "en")
+    return V.bm25(asked(t), t.index, where=F.col("lang") == "en")
+
+
+@query(f"""WITH {POST}, {QT}, scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM qt JOIN df USING (term) CROSS JOIN stats JOIN post USING (term)
+    JOIN documents d USING (doc_id) WHERE d.source = 'src1' GROUP BY 1, 2) {top_sql('scored', 10)}""")
+def bm25_in_host(t):
+    """One host's documents under the statistics of all."""
+    return V.bm25(asked(t), t.index, where=F.col("host") == "src1")
 
 
 @query(f"""WITH {POST}, {QT}, i AS (SELECT query_id, term, {IDF} AS i, max({IDF}) OVER (PARTITION BY query_id) AS m FROM qt JOIN df USING (term) CROSS JOIN stats),
     kept AS (SELECT query_id, term FROM i WHERE i >= 2.5 OR (m < 2.5 AND i = m)),
     scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM kept JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) GROUP BY 1, 2) {top_sql('scored', 10)}""")
 def bm25_idf_floor(t):
-    return V.bm25(asked(t), docs(t), idf_floor=2.5)
+    return V.bm25(asked(t), t.index, idf_floor=2.5)
 
 
 @query(f"WITH {SCORED}, boosted AS (SELECT query_id, doc_id, round(score * CASE WHEN source = 'src0' THEN 50 ELSE 1 END, 6) AS score FROM scored JOIN documents USING (doc_id)) {top_sql('boosted', 10)}")
 def bm25_boosted(t):
-    s = V.scored(asked(t), docs(t)).join(t.documents.select("doc_id", "source"), "doc_id")
-    boosted = s.select("query_id", "doc_id", F.round(F.col("score") * F.when(F.col("source") == "src0", 50).otherwise(1), 6).alias("score"))
-    return V.top(boosted, 10).select("query_id", "rank", "doc_id", "score")
+    return V.bm25(asked(t), t.index, factor=F.when(F.col("host") == "src0", 50.0).otherwise(1.0))
+
+
+@query(f"""WITH {SCORED}, site AS (SELECT doc_id FROM documents WHERE doc_id % 97 = 3), q AS (SELECT DISTINCT item_id AS query_id FROM benchmark),
+    seeded AS (SELECT query_id, doc_id, round(coalesce(score, 0.001) * 50, 6) AS score FROM q CROSS JOIN site LEFT JOIN scored USING (query_id, doc_id) WHERE (SELECT count(*) FROM site) <= 256 OR score IS NOT NULL
+        UNION ALL SELECT query_id, doc_id, score FROM scored WHERE doc_id NOT IN (SELECT doc_id FROM site)) {top_sql('seeded', 10)}""")
+def bm25_seeded(t):
+    """Boosted documents come up even where they share no word with the query, if there are few of them."""
+    site = t.documents.where("doc_id % 97 = 3").select("doc_id", F.lit(50.0).alias("boost"))
+    return V.boosted(asked(t), t.index, site, 10)
+
+
+@query(f"""WITH {POST}, {QT}, b AS (SELECT query_id, term, {IDF} * 2.2 AS b FROM qt JOIN df USING (term) CROSS JOIN stats)
+    SELECT query_id, term, round(b, 6) AS bound, round(sum(b) OVER (PARTITION BY query_id ORDER BY b DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS rest FROM b""")
+def score_bounds(t):
+    return V.bounds(asked(t), t.index)
+
+
+@query(f"WITH {SCORED}, r AS ({top_sql('scored', 10)}) SELECT query_id, score AS kth FROM r WHERE rank = 10")
+def kth_score(t):
+    return V.kth(V.bm25_hits(asked(t), t.index, 10), 10)
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:2], ' ')) AS phrase FROM benchmark),
@@ -169,13 +198,13 @@ def bm25_boosted(t):
 def bm25_phrase(t):
     q = asked(t).withColumn("quoted", F.concat(F.lit('"'), F.array_join(F.slice(F.split("query", " "), 1, 2), " "), F.lit('"')))
     wanted = q.select("query_id", T.phrases(F.col("quoted")).alias("wanted"))
-    s = V.scored(asked(t), docs(t)).join(wanted, "query_id").join(docs(t).select("doc_id", "title", "text"), "doc_id")
+    s = V.scored(asked(t), t.index).join(wanted, "query_id").join(docs(t).select("doc_id", "title", "text"), "doc_id")
     return V.top(s.where(T.has_phrases(F.col("text"), F.col("title"), F.col("wanted"))), 10).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {SCORED}, r AS ({top_sql('scored', 10)}) SELECT query_id, rank, doc_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN round(score / max(score) OVER (PARTITION BY query_id), 6) ELSE score END AS score FROM r")
 def score_calibrated(t):
-    return R.calibrated(V.bm25(asked(t), docs(t)))
+    return R.calibrated(V.bm25(asked(t), t.index))
 
 
 DOT = "list_sum([p[1]::DOUBLE * p[2]::DOUBLE FOR p IN list_zip({a}, {b})])"
@@ -184,25 +213,32 @@ DENSE = f"""dense AS (SELECT q.vec_id AS query_id, p.vec_id AS doc_id, p.label A
     FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0)"""
 
 
-def dense(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.dense_scores(q, t.embeddings)
+def vectors_asked(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {DENSE} {top_sql('dense', 10)}")
 def dense_topk(t):
-    return V.top(dense(t), 10).select("query_id", "rank", "doc_id", "score")
+    return V.dense(vectors_asked(t), t.embeddings)
 
 
 @query(f"WITH {DENSE}, m AS (SELECT query_id, doc_key::BIGINT AS doc_id, max(score) AS score FROM dense GROUP BY 1, 2) {top_sql('m', 5)}")
 def dense_max_passage(t):
-    m = dense(t).groupBy("query_id", F.col("doc_key").cast("long").alias("doc_id")).agg(F.max("score").alias("score"))
-    return V.top(m, 5).select("query_id", "rank", "doc_id", "score")
+    return V.dense(vectors_asked(t), t.embeddings, 5, key=F.col("label"))
+
+
+@query(f"""WITH {DENSE}, m AS (SELECT query_id, doc_key::BIGINT AS doc_id, max(score) AS score FROM dense GROUP BY 1, 2), r AS ({top_sql('m', 5)}),
+    b AS (SELECT query_id, doc_key::BIGINT AS doc_id, doc_id AS vec_id, row_number() OVER (PARTITION BY query_id, doc_key ORDER BY score DESC, doc_id) AS n FROM dense)
+    SELECT query_id, rank, doc_id, score, vec_id * 100 AS byte_offset, 100 + vec_id % 7 AS byte_length FROM r JOIN b USING (query_id, doc_id) WHERE n = 1""")
+def dense_best_spans(t):
+    """A document's best passage with its span."""
+    passages = t.embeddings.select("vec_id", "embedding", "label", (F.col("vec_id") * 100).alias("byte_offset"), (100 + F.col("vec_id") % 7).alias("byte_length"))
+    return V.best_spans(vectors_asked(t), passages, F.col("label"), 5)
 
 
 @query(f"WITH {DENSE}, o AS (SELECT * FROM dense WHERE doc_id <> query_id) {top_sql('o', 10)}")
 def dense_find_similar(t):
-    return V.top(dense(t).where("doc_id <> query_id"), 10).select("query_id", "rank", "doc_id", "score")
+    return V.dense(vectors_asked(t), t.embeddings, others_only=True)
 
 
 HALF = f"""qa AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY term) % 2 AS half FROM qt),
@@ -214,15 +250,74 @@ def halves(t: Tables) -> DataFrame:
     """Two ranked lists per query, from every other of its terms."""
     terms = V.query_terms(asked(t)).withColumn("half", F.row_number().over(Window.partitionBy("query_id").orderBy("term")) % 2)
     q = terms.groupBy("query_id", "half").agg(F.array_join(F.collect_list("term"), " ").alias("query"))
-    ranked = [V.bm25(q.where(F.col("half") == h).select("query_id", "query"), docs(t), k=20).withColumn("half", F.lit(h)) for h in (0, 1)]
+    ranked = [V.bm25(q.where(F.col("half") == h).select("query_id", "query"), t.index, k=20).withColumn("half", F.lit(h)) for h in (0, 1)]
     return ranked[0].unionByName(ranked[1])
 
 
 @query(f"WITH {POST}, {QT}, {HALF}, f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2) {top_sql('f', 10)}")
-def hybrid_rrf(t):
+def fused_halves(t):
     return V.fused(halves(t), 10)
 
 
+#: Questions with a text and a vector: the benchmark items that have an embedding of their number.
+ASKED_DENSE = f"""dense AS (SELECT b.item_id AS query_id, p.vec_id AS doc_id,
+    round({DOT.format(a='q.embedding', b='p.embedding')} / (sqrt({DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({DOT.format(a='p.embedding', b='p.embedding')})), 6) AS score
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings p)"""
+
+
+def asked_vectors(t: Tables) -> DataFrame:
+    q = t.benchmark.select(F.col("item_id").alias("query_id"))
+    return q.join(t.embeddings, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+
+
+@query(f"""WITH {SCORED}, {ASKED_DENSE}, lists AS ({top_sql('scored', 20)} UNION ALL {top_sql('dense', 20)}),
+    f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2), r AS ({top_sql('f', 10)}) SELECT query_id, rank, doc_id, round(1.0 / rank, 6) AS score FROM r""")
+def hybrid_rrf(t):
+    """Words and vectors: twice the hits of each list, fused, scored by place."""
+    return H.hybrid(asked(t), t.index, asked_vectors(t), t.embeddings, 10)
+
+
+@query(f"""WITH {SCORED}, {ASKED_DENSE}, lifted AS (SELECT query_id, doc_id, round(score * (1 + 2.0 * CASE WHEN source = 'src0' THEN 0.9 ELSE 0.5 END), 6) AS score FROM ({top_sql('dense', 26)}) JOIN documents USING (doc_id)),
+    lists AS ({top_sql('scored', 10)} UNION ALL {top_sql('lifted', 26)}),
+    f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2) {top_sql('f', 26)}""")
+def hybrid_authority(t):
+    """The other fusion: vector hits, some more of them, are weighed by their host's authority before they are ranked."""
+    lift = t.documents.select("doc_id", S.multiplier(F.when(F.col("source") == "src0", 0.9).otherwise(0.5)).alias("lift"))
+    return H.hybrid_lifted(asked(t), t.index, asked_vectors(t), t.embeddings, lift, 10)
+
+
+@query(f"""WITH {POST}, v AS (SELECT item_id AS query_id, 0 AS variant, text FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(string_split(text, ' ')[1:6], ' ') FROM benchmark UNION ALL SELECT item_id, 2, array_to_string(string_split(text, ' ')[4:12], ' ') FROM benchmark),
+    qt AS (SELECT query_id, variant, unnest(list_distinct({tok('text')})) AS term FROM v),
+    s AS (SELECT query_id, variant, doc_id, round(sum({BM}), 6) AS score FROM qt JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) GROUP BY 1, 2, 3),
+    lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20),
+    f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2) {top_sql('f', 20)}""")
+def paraphrase_rrf(t):
+    """Each query and its paraphrases, given as data, are searched alike and fused."""
+    words = F.split("text", " ")
+    variants = t.benchmark.select(F.col("item_id").alias("query_id"), "text", F.array(F.array_join(F.slice(words, 1, 6), " "), F.array_join(F.slice(words, 4, 9), " ")).alias("paraphrases"))
+    return H.with_paraphrases(variants.select("query_id", F.col("text").alias("query"), "paraphrases"), t.index, 20)
+
+
+@query(f"""WITH {POST}, q AS (SELECT item_id AS query_id, text || ' ' || coalesce((SELECT d.text FROM documents d WHERE d.doc_id = item_id), '') AS text FROM benchmark),
+    qt AS (SELECT query_id, unnest(list_distinct({tok('text')})) AS term FROM q),
+    scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM qt JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) GROUP BY 1, 2) {top_sql('scored', 10)}""")
+def hyde_search(t):
+    """A passage that might answer, given as data, is added to the query."""
+    passages = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("passage"))
+    return V.bm25(H.with_passage(asked(t), passages), t.index)
+
+
+@query(rf"""WITH {POST}, q AS (SELECT item_id AS query_id, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS w FROM benchmark),
+    e AS (SELECT query_id, 'who wrote the ' || w || '? ' || w || ' author writer ' || w || ' book novel publication' AS text FROM q WHERE w <> ''),
+    qt AS (SELECT query_id, unnest(list_distinct({tok('text')})) AS term FROM e),
+    scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM qt JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) GROUP BY 1, 2) {top_sql('scored', 10)}""")
+def entity_search(t):
+    """Questions about an entity are searched with their rewrites added."""
+    word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
+    q = t.benchmark.where(word != "").select(F.col("item_id").alias("query_id"), F.concat(F.lit("who wrote the "), word, F.lit("?")).alias("query"))
+    return V.bm25(H.with_rewrites(q), t.index)
+
+
 @query(f"WITH {POST}, {QT}, {HALF}, f AS (SELECT query_id, doc_id, round(sum(CASE WHEN half = 0 THEN 2.0 ELSE 1.0 END / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2) {top_sql('f', 10)}")
 def weighted_rrf(t):
     return V.fused(halves(t), 10, F.when(F.col("half") == 0, 2.0).otherwise(1.0))
@@ -239,17 +334,17 @@ LIKE = f"""s AS (SELECT doc_id AS query_id, term AS doc_id, round(tf * (ln(n_doc
 
 @query(f"WITH {POST}, {LIKE} SELECT * FROM lt")
 def mlt_terms(t):
-    return V.like_terms(docs(t), t.documents.where("doc_id % 50 = 0"))
+    return V.like_terms(t.index, t.documents.where("doc_id % 50 = 0"))
 
 
 @query(f"WITH {POST}, {LIKE}, scored AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM (SELECT query_id, term FROM lt) JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) WHERE query_id <> doc_id GROUP BY 1, 2) {top_sql('scored', 10)}")
 def more_like_this(t):
-    terms = V.like_terms(docs(t), t.documents.where("doc_id % 50 = 0"))
+    terms = V.like_terms(t.index, t.documents.where("doc_id % 50 = 0"))
     q = terms.groupBy("query_id").agg(F.array_join(F.collect_list("term"), " ").alias("query"))
-    return V.top(V.scored(q, docs(t)).where("query_id <> doc_id"), 10).select("query_id", "rank", "doc_id", "score")
+    return V.top(V.bm25_hits(q, t.index, 11).where("query_id <> doc_id"), 10).select("query_id", "rank", "doc_id", "score")
 
 
-PRF = f"""hits AS ({top_sql('scored', 10)}),
+PRF = f"""every AS ({top_sql('scored', 10)}), hits AS (SELECT * FROM every WHERE query_id IN (SELECT query_id FROM every GROUP BY 1 HAVING count(*) >= 3)),
     ft AS (SELECT query_id, unnest(list_distinct({tok('substring(text, 1, 2000)')})) AS term FROM hits JOIN documents USING (doc_id)),
     fc AS (SELECT query_id, term AS doc_id, count(*) AS score FROM ft WHERE NOT EXISTS (SELECT 1 FROM qt WHERE qt.query_id = ft.query_id AND qt.term = ft.term) GROUP BY 1, 2 HAVING count(*) >= 2),
     pt AS ({top_sql('fc', 5, 'query_id, rank, doc_id AS term, score AS n_docs')})"""
@@ -257,14 +352,14 @@ PRF = f"""hits AS ({top_sql('scored', 10)}),
 
 @query(f"WITH {SCORED}, {PRF} SELECT * FROM pt")
 def prf_terms(t):
-    return V.feedback_terms(V.bm25(asked(t), docs(t)), docs(t), asked(t))
+    return V.feedback_terms(V.bm25(asked(t), t.index), docs(t), asked(t))
 
 
 @query(f"WITH {SCORED}, {PRF}, q2 AS (SELECT query_id, term FROM qt UNION SELECT query_id, term FROM pt), s2 AS (SELECT query_id, doc_id, round(sum({BM}), 6) AS score FROM q2 JOIN df USING (term) CROSS JOIN stats JOIN post USING (term) GROUP BY 1, 2) {top_sql('s2', 10)}")
 def prf_search(t):
-    more = V.feedback_terms(V.bm25(asked(t), docs(t)), docs(t), asked(t)).groupBy("query_id").agg(F.array_join(F.collect_list("term"), " ").alias("more"))
+    more = V.feedback_terms(V.bm25(asked(t), t.index), docs(t), asked(t)).groupBy("query_id").agg(F.array_join(F.collect_list("term"), " ").alias("more"))
     q = asked(t).join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "more").alias("query"))
-    return V.bm25(q, docs(t))
+    return V.bm25(q, t.index)
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, 'who invented the ' || lower(regexp_extract(coalesce(text, ''), '([A-Za-z]+)', 1)) || '?' AS q FROM conversations),
@@ -315,9 +410,8 @@ EVAL = f"""{DENSE}, {RELEVANT}, o AS (SELECT * FROM dense WHERE doc_id <> query_
 
 
 def judged(t: Tables) -> DataFrame:
-    ranked = V.top(dense(t).where("doc_id <> query_id"), 10).select("query_id", "rank", "doc_id", "score")
     q, p = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label"), t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
-    return E.metrics(ranked, q.join(p, "label").where("query_id <> doc_id").select("query_id", "doc_id"))
+    return E.metrics_by_label(V.dense(vectors_asked(t), t.embeddings, others_only=True), q, p)
 
 
 @query(f"WITH {EVAL} SELECT * FROM m")
@@ -335,7 +429,7 @@ def eval_mean(t):
 
 @query(f"SELECT lang, count(*) AS n_docs, sum(len({tok('text')}))::BIGINT AS n_tokens FROM documents GROUP BY lang")
 def census_lang(t):
-    return C.census(t.documents, T.language(F.col("lang")), "lang")
+    return C.census(t.index.rows, T.language(F.col("lang")), "lang")
 
 
 HOST = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)"
@@ -344,7 +438,7 @@ KEY = rf"""(CASE WHEN lower(url) LIKE 'http://%' THEN 'https' ELSE lower(regexp_
     || (CASE WHEN regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/:?#]+:(\d+)', 1) IN ('', '80', '443') THEN '' ELSE ':' || regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/:?#]+:(\d+)', 1) END)
     || (CASE WHEN regexp_replace(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') END)
     || (CASE WHEN len(params) = 0 THEN '' ELSE '?' || array_to_string(params, '&') END)"""
-PARAMS = r"list_sort([p FOR p IN string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&') IF p <> '' AND split_part(p, '=', 1) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref') AND NOT starts_with(p, 'utm_')])"
+PARAMS = r"list_sort([p FOR p IN string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&') IF p <> '' AND split_part(p, '=', 1) NOT IN ('ref', 'ref_src', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', '_ga') AND NOT starts_with(p, 'utm_')])"
 KEYED = f"keyed AS (SELECT page_id, {KEY} AS key, {BARE} AS host FROM (SELECT *, {PARAMS} AS params FROM pages))"
 
 
@@ -384,10 +478,18 @@ def hosts_page(t):
     return R.page(h, [F.desc("n"), "host"], 10, 10)
 
 
-AUDIT = rf"""h AS (SELECT {BARE} AS host, count(*) AS n_pages FROM pages GROUP BY 1), d AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM h WHERE host <> ''),
+def listed_sql(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+DOMAIN = f"(CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {listed_sql(U.DEEP_SUFFIXES)} THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END)"
+LAST = "(CASE WHEN contains(host, '.') THEN regexp_extract(host, '[^.]+$') ELSE '' END)"
+FARM = f"(CASE WHEN domain IN {listed_sql(S.PLATFORMS)} THEN 0.0 WHEN n_hosts >= 100000 THEN 0.4 WHEN n_hosts >= 10000 THEN 0.3 WHEN n_hosts >= 1000 THEN 0.1 ELSE 0.0 END)"
+TLD_PART = f"(CASE WHEN {LAST} IN {listed_sql(S.INSTITUTIONAL)} THEN 0.2 WHEN {LAST} IN {listed_sql(S.SUSPECT)} THEN -0.3 ELSE 0.0 END)"
+SECOND = "(CASE WHEN " + " OR ".join(f"ends_with(host, '{x}')" for x in S.SECOND_LEVEL) + " THEN 0.15 ELSE 0.0 END)"
+AUDIT = rf"""h AS (SELECT {BARE} AS host, count(*) AS n_pages FROM pages GROUP BY 1), d AS (SELECT *, {DOMAIN} AS domain FROM h WHERE host <> ''),
     s AS (SELECT domain, count(*) AS n_hosts FROM d GROUP BY 1),
-    a AS (SELECT host, domain, n_pages, n_hosts, round(greatest(least(0.5 + CASE WHEN regexp_extract(host, '[^.]+$') IN ('edu', 'gov', 'mil', 'int') THEN 0.2 WHEN regexp_extract(host, '[^.]+$') IN ('sbs', 'cfd', 'click', 'top', 'xyz', 'icu') THEN -0.3 ELSE 0.0 END
-    - CASE WHEN n_hosts >= 100000 THEN 0.4 WHEN n_hosts >= 10000 THEN 0.3 WHEN n_hosts >= 1000 THEN 0.1 ELSE 0.0 END, 1.0), 0.0), 6)::DOUBLE AS score FROM d JOIN s USING (domain))"""
+    a AS (SELECT host, domain, n_pages, n_hosts, round(greatest(least(0.5 + {TLD_PART} + {SECOND} - {FARM}, 1.0), 0.0), 6)::DOUBLE AS score FROM d JOIN s USING (domain))"""
 
 
 @query(f"WITH {AUDIT} SELECT *, CASE WHEN score >= 0.75 THEN 'trusted' WHEN score >= 0.4 THEN 'keep' WHEN score >= 0.25 THEN 'down-weight' ELSE 'block' END AS class FROM a")
@@ -574,7 +676,7 @@ def event_properties(t):
 
 @query(None)
 def mmr_diversified(t):
-    c = V.top(dense(t).where("doc_id <> query_id"), 50).join(t.embeddings.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector")), F.col("doc_id") == F.col("_v"))
+    c = V.dense(vectors_asked(t), t.embeddings, 50, others_only=True).join(t.embeddings.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector")), F.col("doc_id") == F.col("_v"))
     return R.diversified(c.select("query_id", "doc_id", "score", "vector"), 0.7, 10)
 
 

@@ -19,6 +19,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @property
+    def index(self):
+        """The stored index of documents, built on first use."""
+        from ..operators.index import adapted, stored
+
+        return stored(self.spark, self.folder, lambda: adapted(self.documents))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
