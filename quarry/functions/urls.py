@@ -159,22 +159,25 @@ def variant_key(url: Column) -> Column:
     return F.when(h != "", F.concat(h, F.when((n == "") | (n == default), "").otherwise(F.concat(F.lit(":"), n)), clean_path(raw)))
 
 
-@F.pandas_udf("string")
-def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    """A link of a page as an absolute http(s) address without fragment; null for other schemes, scripts, bare anchors."""
-
-    def one(b: str, h: str) -> str | None:
-        h = (h or "").strip()
-        if not h or h.startswith("#"):
-            return None
-        try:
-            full = urllib.parse.urldefrag(urllib.parse.urljoin(b or "", h)).url
-            parts = urllib.parse.urlsplit(full)
-        except ValueError:
-            return None
-        return full if parts.scheme in ("http", "https") and parts.netloc else None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href)])
+def resolve(base: str | None, href: str | None) -> str | None:
+    """A link of a page as an absolute http(s) address without fragment; None for other schemes and bare anchors."""
+    h = (href or "").strip()
+    if not h or h.startswith("#"):
+        return None
+    try:
+        full = urllib.parse.urldefrag(urllib.parse.urljoin(base or "", h)).url
+        parts = urllib.parse.urlsplit(full)
+    except ValueError:
+        return None
+    return full if parts.scheme in ("http", "https") and parts.netloc else None
+
+
+def resolved(base: Column, href: Column) -> Column:
+    @F.pandas_udf("string")
+    def apply(b: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([resolve(x, y) for x, y in zip(b, h)], dtype=object)
+
+    return apply(base, href)
 
 
 def host_boosts(rows: DataFrame, url: Column, boosts: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def author_matches(author: Column, include: list[str], exclude: list[str]) -> Co
     return wanted
 
 
+def by_author(hits: DataFrame, metas: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
+    """Hits whose document (doc_id, author) clears the lists; a hit without a row of metadata stays."""
+    m = metas.select("doc_id", author_matches(F.col("author"), include, exclude).alias("_ok"))
+    return hits.join(m, "doc_id", "left").where(F.coalesce("_ok", F.lit(True))).drop("_ok")
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page of an order, with the total."""
     total = rows.agg(F.count("*").alias("total"))
@@ -54,21 +60,29 @@ def after_key(rows: DataFrame, keys: list[str], last: tuple, limit: int) -> Data
 
 
 def diversified(candidates: DataFrame, weight: float, k: int) -> DataFrame:
-    """Maximal marginal relevance per query. candidates: query_id, doc_id, score, vector; k candidates or more each,
-    which a top-k before it bounds."""
+    """Maximal marginal relevance per query. candidates: query_id, doc_id, score, vector; more than k each, which a top-k
+    before it bounds. With k candidates at most, or a weight of one, their order stays. A candidate unlike all chosen
+    ones gains nothing by it: likeness counts from zero. Weights go from zero to one; ties go to the better candidate."""
+    weight = min(max(weight, 0.0), 1.0)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
-        v = np.stack(pdf["vector"].to_numpy()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        score, left, chosen = pdf["score"].to_numpy(float), np.ones(len(pdf), bool), []
-        near = np.full(len(pdf), -np.inf)
-        while len(chosen) < min(k, len(pdf)):
-            gain = weight * score - (1 - weight) * np.where(np.isfinite(near), near, 0.0)
-            i = int(np.argmax(np.where(left, gain, -np.inf)))
-            chosen.append(i)
-            left[i] = False
-            near = np.maximum(near, v @ v[i])
+        if len(pdf) <= k or weight == 1.0:
+            chosen = list(range(min(k, len(pdf))))
+        else:
+            v = np.stack(pdf["vector"].to_numpy()).astype(float)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            score, left, near, chosen = pdf["score"].to_numpy(float), np.ones(len(pdf), bool), np.zeros(len(pdf)), []
+            while len(chosen) < k:
+                i = int(np.argmax(np.where(left, weight * score - (1 - weight) * near, -np.inf)))
+                chosen.append(i)
+                left[i] = False
+                near = np.maximum(near, v @ v[i])
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": pdf["doc_id"].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
 
     return candidates.groupBy("query_id").applyInPandas(greedy, "query_id long, doc_id long, rank int")
+
+
+def pool_size(k: int, asked: int = 0) -> int:
+    """Candidates that diversification chooses from."""
+    return max(asked if asked > 0 else max(5 * k, 50), k)

@@ -17,7 +17,7 @@ from ..operators import index as I
 from ..operators import ops as O
 from ..operators import rank as R
 from ..operators import retrieve as V
-from ..sources.readers import Tables, parsed_pages
+from ..sources.readers import Tables
 from ..sources.writers import sitemap_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,11 +564,6 @@ def cited_ids(t):
     return t.conversations.select("conv_id", "turn", ids.isNotNull().alias("cites"), F.size(ids).alias("n_cited"))
 
 
-@query(None)
-def html_text(t):
-    return parsed_pages(t.pages)
-
-
 # --- dates, queues, logs
 
 
@@ -635,14 +630,14 @@ def sla_window(t):
     return O.service_levels(samples(t), "1 hour")
 
 
-@query(f"WITH {LEVELS}, s AS (SELECT endpoint, window_start, CASE WHEN p50 > 30 THEN 'critical' WHEN p50 > 20 THEN 'warn' ELSE 'ok' END AS severity FROM levels), l AS (SELECT *, lag(severity, 1, 'ok') OVER (PARTITION BY endpoint ORDER BY window_start) AS before FROM s) SELECT endpoint, window_start, before, severity FROM l WHERE severity <> before")
+@query(f"WITH {LEVELS}, s AS (SELECT endpoint, window_start, CASE WHEN p50 > 30 THEN 'critical' WHEN p50 > 20 THEN 'warn' ELSE 'ok' END AS severity FROM levels), l AS (SELECT *, lag(severity, 1, 'ok') OVER (PARTITION BY endpoint ORDER BY window_start) AS before FROM s) SELECT endpoint, window_start, before, CASE severity WHEN 'ok' THEN 'recovered' ELSE severity END AS severity FROM l WHERE severity <> before")
 def severity_transitions(t):
     return O.transitions(O.service_levels(samples(t), "1 hour"), "p50", 20.0)
 
 
 @query("SELECT event_type AS endpoint, list_sort(list(value))[floor((count(*) - 1) * 0.95)::INT + 1] AS p95 FROM events GROUP BY 1")
 def sla_percentiles(t):
-    return t.events.groupBy(F.col("event_type").alias("endpoint")).agg(O.percentile(F.col("value"), 0.95).alias("p95"))
+    return O.percentiles(t.events.select(F.col("event_type").alias("endpoint"), "value"), "value", [0.95], ["endpoint"])
 
 
 @query("SELECT le::DOUBLE AS le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([1, 5, 10, 50, 100]) AS le) GROUP BY 1")
@@ -674,12 +669,6 @@ def event_properties(t):
     return t.events.groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query(None)
-def mmr_diversified(t):
-    c = V.dense(vectors_asked(t), t.embeddings, 50, others_only=True).join(t.embeddings.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector")), F.col("doc_id") == F.col("_v"))
-    return R.diversified(c.select("query_id", "doc_id", "score", "vector"), 0.7, 10)
-
-
 # --- general relational coverage
 
 
