@@ -192,6 +192,23 @@ def host_boosts(rows: DataFrame, url: Column, boosts: DataFrame) -> DataFrame:
     return marked.join(best, "_host", "left").select(*rows.columns, F.coalesce("boost", F.lit(1.0)).alias("boost"))
 
 
+def ends_in(text: Column, endings: list[str]) -> Column:
+    out = F.lit(False)
+    for e in endings:
+        out = out | text.endswith(e)
+    return out
+
+
+def taken_in(urls: DataFrame) -> DataFrame:
+    """Contributed addresses (position, url) that are fine, without fragment, with a path, each once, in their order."""
+    u = F.regexp_replace(F.trim("url"), "#.*$", "")
+    whole = F.regexp_replace(u, r"^([a-zA-Z]+://[^/?#]*)(?=$|\?)", "$1/")
+    head = F.regexp_extract(whole, r"^([a-zA-Z]+://[^/?#]*)", 1)
+    clean = F.concat(F.lower(head), F.expr("substring(_w, length(_h) + 1)"))
+    good = urls.where(intake_problem(F.col("url")).isNull()).withColumns({"_w": whole, "_h": head}).select("position", clean.alias("url"))
+    return good.groupBy("url").agg(F.min("position").alias("position"))
+
+
 def fnv1a(data: bytes) -> int:
     """The 32-bit hash that deals addresses to shards."""
     h = 2166136261
@@ -210,15 +227,20 @@ def shard(url: Column, n: int) -> Column:
     return apply(url)
 
 
+# Endings of hosts that are not public, and of paths that are programs.
+RESERVED_HOSTS = [".localhost", ".local", ".internal", ".home", ".lan", ".test", ".invalid"]
+PROGRAMS = [".exe", ".msi", ".scr", ".bat", ".cmd", ".ps1", ".apk", ".dmg", ".iso"]
+
+
 def intake_problem(url: Column) -> Column:
     """Why a contributed URL is refused; null if it is fine."""
     u, h = F.trim(url), host(url)
     port = F.regexp_extract(u, r"^[a-zA-Z]+://[^/:?#]+:(\d+)", 1)
     return (
-        F.when(F.octet_length(u) > 2048, "too long")
+        F.when(F.octet_length(url) > 2048, "too long")
         .when(~F.lower(u).rlike("^https?://"), "scheme")
         .when(u.rlike(r"^[a-zA-Z]+://[^/?#]*@"), "credentials")
         .when(~port.isin("", "80", "443"), "port")
-        .when(~h.contains(".") | h.rlike(r"^[0-9.]+$") | h.rlike(r"\.(localhost|local|internal|test|invalid|example)$"), "host")
-        .when(F.lower(path(u)).rlike(r"\.(exe|dmg|msi|apk|bat|scr|jar)$"), "file type")
+        .when(~h.contains(".") | h.rlike(r"^\d+(\.\d+){3}$") | h.endswith(".") | ~h.rlike("^[a-z0-9.-]+$") | ends_in(h, RESERVED_HOSTS), "host")
+        .when(ends_in(F.lower(path(u)), PROGRAMS), "file type")
     )

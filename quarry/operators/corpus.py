@@ -81,13 +81,22 @@ def listed_terms(text: Column, terms: list[str]) -> Column:
     return F.size(F.array_intersect(T.letter_tokens(text), F.array(*[F.lit(t) for t in terms])))
 
 
+BODY_BYTES = 200_000
+
+
+def head_bytes(text: Column, n: int) -> Column:
+    """The first n bytes of a text as text, a character that is cut left out."""
+    return F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8"), "\ufffd$", "")
+
+
 def flagged(rows: DataFrame, terms: list[str], hosts: list[str], tlds: list[str], least: int = 2) -> DataFrame:
     """Adult filter with lists given by the caller: a host fragment or top-level domain, or `least` distinct words."""
     h = U.host(F.col("url"))
     by_host = U.tld(h).isin(tlds) if tlds else F.lit(False)
     for x in hosts:
         by_host = by_host | h.contains(x)
-    n = listed_terms(F.substring(F.col("text"), 1, 200_000), terms)
+    # The first 200,000 bytes of a text, which few texts reach: a byte count before any character is cut.
+    n = listed_terms(F.when(F.octet_length("text") <= BODY_BYTES, F.col("text")).otherwise(head_bytes(F.col("text"), BODY_BYTES)), terms)
     return rows.withColumns({"n_terms": n, "by_host": by_host}).withColumn("flagged", F.col("by_host") | (F.col("n_terms") >= least))
 
 

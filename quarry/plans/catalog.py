@@ -518,9 +518,9 @@ def repetition_filter(t):
     return C.stuffed(t.documents)
 
 
-@query(r"""SELECT page_id, CASE WHEN octet_length(encode(trim(url))) > 2048 THEN 'too long' WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'scheme' WHEN regexp_matches(trim(url), '^[a-zA-Z]+://[^/?#]*@') THEN 'credentials'
-    WHEN regexp_extract(trim(url), '^[a-zA-Z]+://[^/:?#]+:(\d+)', 1) NOT IN ('', '80', '443') THEN 'port' WHEN NOT contains(h, '.') OR regexp_matches(h, '^[0-9.]+$') OR regexp_matches(h, '\.(localhost|local|internal|test|invalid|example)$') THEN 'host'
-    WHEN regexp_matches(lower(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '\.(exe|dmg|msi|apk|bat|scr|jar)$') THEN 'file type' END AS problem FROM (SELECT *, """ + HOST + " AS h FROM pages)")
+@query(r"""SELECT page_id, CASE WHEN octet_length(encode(url)) > 2048 THEN 'too long' WHEN NOT regexp_matches(lower(trim(url)), '^https?://') THEN 'scheme' WHEN regexp_matches(trim(url), '^[a-zA-Z]+://[^/?#]*@') THEN 'credentials'
+    WHEN regexp_extract(trim(url), '^[a-zA-Z]+://[^/:?#]+:(\d+)', 1) NOT IN ('', '80', '443') THEN 'port' WHEN NOT contains(h, '.') OR regexp_matches(h, '^\d+(\.\d+){3}$') OR h LIKE '%.' OR NOT regexp_matches(h, '^[a-z0-9.-]+$') OR regexp_matches(h, '\.(localhost|local|internal|home|lan|test|invalid)$') THEN 'host'
+    WHEN regexp_matches(lower(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '\.(exe|msi|scr|bat|cmd|ps1|apk|dmg|iso)$') THEN 'file type' END AS problem FROM (SELECT *, """ + HOST + " AS h FROM pages)")
 def url_intake(t):
     return t.pages.select("page_id", U.intake_problem(F.col("url")).alias("problem"))
 
