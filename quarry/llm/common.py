@@ -1,19 +1,16 @@
-"""What the operators share: the shared folder, written tables, whole-text batches, labelled samples."""
+"""What the operators share: session settings, whole-text batches, labelled samples."""
 
 from __future__ import annotations
 
-import atexit
-import functools
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path, written  # noqa: F401 - operators take them from here
+
 #: Rows per Arrow batch: 500 texts of the longest kind seen (about 120 KB) stay under 64 MB.
 BATCH_ROWS = 500
 
@@ -29,39 +26,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by the cluster in spark.checkpoint.dir.
-
-    Where the setting is absent, a folder of this machine will do only if executors run on it: a local master. It is
-    made once a process; the caller's session is left as it is.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = own_folder()
-    return found.rstrip("/")
-
-
-@functools.lru_cache(maxsize=1)
-def own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="quarry-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return "file://" + folder
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of jobs whose results are already written."""
     gc.collect()

@@ -2,14 +2,21 @@
 
 The suffix array is sparse. Of any SPAN-byte string the least hashed GRAM bytes mark an anchor, so equal strings hold
 equal anchors, and a twentieth of all positions suffices. An anchor travels with a 64-bit hash of its neighbourhood
-(every SPAN-byte string around it lies inside). Equal neighbourhoods settle whole stretches at once: all but the
-smallest document's are covered. Neighbourhoods that agree on one side only hold the ends of repeats; their bytes are
-fetched and the suffixes in them ordered by deep-shallow sorting: multikey partitioning on the first SHALLOW words of
-eight bytes, then, for the remaining groups with long common prefixes, blind tries, built level by level for all
-groups at once, which look only at words where a group branches. Equal neighbours in that order are the repeats.
+(every SPAN-byte string around it lies inside). Hashes only tell which suffixes are worth ordering; what is removed is
+decided on bytes, in the order of suffixes. Two kinds are ordered: suffixes that start where a neighbourhood starts, of
+neighbourhoods that hash alike in several documents (whole stretches of copies), and all suffixes around anchors whose
+neighbourhoods agree on one side only (the ends of repeats).
 
-A passage in a great many documents does not pile up: each batch sends on one row per neighbourhood, and groups of
-one anchor are dealt by the suffix's place in the neighbourhood as well.
+The order is that of deep-shallow sorting: multikey partitioning on the first SHALLOW words of eight bytes, then, for the
+remaining groups with long common prefixes, blind tries, built level by level for all groups at once, which look only at
+words where a group branches. Equal neighbours in that order are the repeats; all but the smallest document's go.
+
+A passage in a great many documents does not pile up: each batch orders its own neighbourhoods first and sends on one row
+of equal ones, a neighbourhood with many rows left is dealt to lanes with its smallest document in each, and suffixes
+around a common anchor are dealt by their place in the neighbourhood.
+
+Two neighbourhoods that differ in bytes but not in 128 bits of hash are told apart, but what else their second one
+shares with others may be missed.
 
 Nulls: a null text is empty; rows with a null doc_id take no part and lose nothing. Texts under SPAN bytes lose
 nothing. Strings that repeat within one document alone stay. Rows that repeat a doc_id do not count as smaller than
@@ -39,8 +46,11 @@ HALF_AFTER = SPAN - HALF_BEFORE + 1
 SHALLOW = 2
 #: Rows of one anchor that are compared at once.
 CHUNK_ROWS = 100_000
-#: Suffix rows of one anchor beyond which it is dealt to more lanes.
-LANE_ROWS = 1000
+#: Suffix rows of one anchor beyond which it is dealt to more lanes, and rows of one neighbourhood in a lane.
+LANE_ROWS, COPY_ROWS = 1000, 5000
+#: Rows that are gathered before they are worked on, and rows of bytes.
+GATHER_ROWS, BYTE_ROWS = 20_000, 8000
+WORDS = AROUND // 8
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -57,15 +67,21 @@ def words_at(padded: np.ndarray) -> np.ndarray:
     return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,)).copy()
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """Anchor hash, neighbourhood hash and packed place of every anchor; nothing for short texts."""
+def padded(data: bytes) -> np.ndarray:
+    """Bytes of a text with BEFORE bytes before it and room behind it, so that every neighbourhood lies inside."""
+    out = np.zeros(len(data) + BEFORE + AFTER + 8, np.uint8)
+    out[BEFORE : BEFORE + len(data)] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, neighbourhood hash and packed place of every anchor, and the padded text; nothing for short texts."""
     n = len(data)
     if n < SPAN:
         none = np.zeros(0, np.uint64)
-        return none, none, none
-    padded = np.zeros(n + BEFORE + AFTER + 8, np.uint8)
-    padded[BEFORE : BEFORE + n] = np.frombuffer(data, np.uint8)
-    word = words_at(padded)
+        return none, none, none, np.zeros(0, np.uint8)
+    pad = padded(data)
+    word = words_at(pad)
     at = word[BEFORE:]
     grams = n - GRAM + 1
     h = mixed(at[:grams] * BASE + at[GRAM - 8 : GRAM - 8 + grams])
@@ -80,16 +96,43 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
             out = mixed(out * BASE + word[place + o])
         return out
 
-    before, after = np.minimum(place, BEFORE), np.minimum(n - place, AFTER)
-    around = folded([*range(0, AROUND - 7, 8)], (before * 64 + after).astype(np.uint64))
+    around = folded([*range(0, AROUND - 7, 8)], edges_of(place, n).astype(np.uint64))
     zero = np.zeros(len(place), np.uint64)
     left = folded([BEFORE - HALF_BEFORE, BEFORE - HALF_BEFORE + 8, BEFORE - 3, BEFORE + GRAM - 8], zero)
     right = folded([BEFORE, BEFORE + 8, BEFORE + 16, BEFORE + HALF_AFTER - 8], zero)
     packed = place.astype(np.uint64) << np.uint64(32) | (left >> np.uint64(48)) << np.uint64(16) | right >> np.uint64(48)
-    return h[place], around, packed
+    return h[place], around, packed, pad
+
+
+def edges_of(place: np.ndarray, size) -> np.ndarray:
+    """How much of a neighbourhood lies in its text, before and after, as one number."""
+    return np.minimum(place, BEFORE) * 64 + np.minimum(size - place, AFTER)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of that many rows at least, but for the last one."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 ROW = "anchor long, around long, doc_id long, packed long"
+#: Cover rows (no anchor; start and stop), rows of copies (place in start, lane in stop), rows of ends (no around).
+FOUND = "anchor long, around long, doc_id long, start long, stop long"
+
+
+def found(doc, start, stop, anchor=None, around=None) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.int64())
+    cols = [none if anchor is None else pa.array(anchor, pa.int64()), none if around is None else pa.array(around, pa.int64()), *(pa.array(x, pa.int64()) for x in (doc, start, stop))]
+    return pa.RecordBatch.from_arrays(cols, ["anchor", "around", "doc_id", "start", "stop"])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,26 +149,44 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-def batch_of(anchor, around, doc, packed, null_anchor: bool) -> pa.RecordBatch:
-    a = pa.nulls(len(doc), pa.int64()) if null_anchor else pa.array(anchor.view(np.int64))
-    return pa.RecordBatch.from_arrays([a, pa.array(around.view(np.int64)), pa.array(doc), pa.array(packed.view(np.int64))], ["anchor", "around", "doc_id", "packed"])
+def starts_of(key: list[np.ndarray]) -> np.ndarray:
+    """Where sorted rows begin a new key."""
+    new = np.zeros(len(key[0]), bool)
+    new[:1] = True
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def spans_of(packed: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
-    return (packed >> np.uint64(32)).astype(np.int64)
+def over_groups(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """A value per group for each of its rows."""
+    return np.repeat(values, np.diff(np.append(first, n)))
+
+
+def copies_among(group: np.ndarray, edges: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have, in their group, the neighbourhood of a smaller document, by the order of their bytes."""
+    order, new = deep_shallow(group, np.column_stack([edges.astype(np.uint64), words]))
+    first = np.flatnonzero(new)
+    least = over_groups(np.minimum.reduceat(doc[order], first), first, len(order))
+    hit = np.zeros(len(doc), bool)
+    hit[order] = doc[order] > least
+    return hit
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Anchor rows, and cover rows (null anchor, start in `around`, end in `packed`) of what a batch settles itself."""
+    """Anchor rows, and cover rows (null anchor, start in `around`, end in `packed`) of what a batch orders itself."""
+
+    def row_batch(anchor, around, doc, packed) -> pa.RecordBatch:
+        a = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
+        return pa.RecordBatch.from_arrays([a, pa.array(around.view(np.int64)), pa.array(doc), pa.array(packed.view(np.int64))], ["anchor", "around", "doc_id", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, ids, sizes = [], [], []
             for i, t in zip(b.column(0).to_pylist(), strings(b.column(1))):
                 data = t.encode("utf-8", "surrogatepass")
-                got = anchors(data)
-                if i is not None and len(got[0]):
-                    parts.append(got)
+                if i is not None and len(data) >= SPAN:
+                    parts.append(anchors(data))
                     ids.append(i)
                     sizes.append(len(data))
             if not parts:
@@ -133,72 +194,79 @@ def scanned(docs: DataFrame) -> DataFrame:
             count = [len(p[0]) for p in parts]
             anchor, around, packed = (np.concatenate([p[k] for p in parts]) for k in range(3))
             doc, size = np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(sizes, np.int64), count)
+            base = np.repeat(np.cumsum([0] + [len(p[3]) for p in parts[:-1]]), count)
             order = np.lexsort((doc, around, anchor))
-            anchor, around, packed, doc, size = anchor[order], around[order], packed[order], doc[order], size[order]
-            first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (around[1:] != around[:-1])]))
-            least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
-            settled = doc > least
-            place = spans_of(packed)
-            d, s, e = merged(doc[settled], np.maximum(place[settled] - BEFORE, 0), np.minimum(place[settled] + AFTER, size[settled]))
-            if len(d):
-                yield batch_of(None, s, d, e, True)
-            keep = ~settled
-            for a in range(0, int(keep.sum()), 200_000):
-                k = np.flatnonzero(keep)[a : a + 200_000]
-                yield batch_of(anchor[k], around[k], doc[k], packed[k], False)
+            anchor, around, packed, doc, size, base = (x[order] for x in (anchor, around, packed, doc, size, base))
+            place = (packed >> np.uint64(32)).astype(np.int64)
+            first = starts_of([anchor, around])
+            several = over_groups(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), first, len(doc))
+            settled = np.zeros(len(doc), bool)
+            rows = np.flatnonzero(several)
+            if len(rows):
+                text = np.concatenate([p[3] for p in parts])
+                eight = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
+                at = base[rows] + place[rows]
+                words = np.stack([eight[at + 8 * k] for k in range(WORDS)], axis=1).astype(np.uint64)
+                group = over_groups(np.arange(len(first)), first, len(doc))[rows]
+                settled[rows] = copies_among(group, edges_of(place[rows], size[rows]), words, doc[rows])
+                d, s, e = merged(doc[settled], np.maximum(place[settled] - BEFORE, 0), np.minimum(place[settled] + AFTER, size[settled]))
+                if len(d):
+                    yield row_batch(None, s, d, e)
+            keep = np.flatnonzero(~settled)
+            for a in range(0, len(keep), 200_000):
+                k = keep[a : a + 200_000]
+                yield row_batch(anchor[k], around[k], doc[k], packed[k])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROW)
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """From anchor rows sorted by (anchor, around, doc_id): cover rows (doc_id, start, end unclipped), and candidates
-    (anchor set) whose suffixes must be ordered."""
-    form = "anchor long, doc_id long, start long, stop long"
+    """From anchor rows sorted by (anchor, around, doc_id), FOUND rows: what batches settled, and the places whose
+    suffixes must be ordered."""
 
-    def out(anchor, doc, start, stop) -> pa.RecordBatch:
-        a = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor)
-        return pa.RecordBatch.from_arrays([a, pa.array(doc), pa.array(start), pa.array(stop)], ["anchor", "doc_id", "start", "stop"])
-
-    def candidates(anchor, around, doc, packed, all_of_them: bool) -> np.ndarray:
+    def ends(anchor, around, doc, packed, all_of_them: bool) -> np.ndarray:
         """Rows that share an anchor and one side with a different neighbourhood in another document."""
         if all_of_them:
             return np.ones(len(doc), bool)
-        found = np.zeros(len(doc), bool)
+        out = np.zeros(len(doc), bool)
         for shift in (16, 0):
             side = (packed.view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFF)
             order = np.lexsort((side, anchor))
             a, s, d, c = anchor[order], side[order], doc[order], around[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
-            n = np.diff(np.append(first, len(a)))
-            mixed_ = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) & (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first))
-            found[order] |= np.repeat(mixed_, n)
-        return found
+            first = starts_of([a, s])
+            differ = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) & (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first))
+            out[order] |= over_groups(differ, first, len(a))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # anchor, around, least doc_id of the neighbourhood that the rows before ended in
+        last = None  # anchor, around, least doc_id, its place and the rows behind it, of the neighbourhood at the end
         held: list[tuple[np.ndarray, ...]] = []
         n_held, overflown = 0, None
-        for b in batches:
+        for b in gathered(batches, GATHER_ROWS):
             covers = b.filter(b.column(0).is_null())
             if covers.num_rows:
-                yield pa.RecordBatch.from_arrays([covers.column(k) for k in (0, 2, 1, 3)], ["anchor", "doc_id", "start", "stop"])
+                yield found(*(covers.column(k).to_numpy() for k in (2, 1, 3)))
                 b = b.filter(b.column(0).is_valid())
             if not b.num_rows:
                 continue
             anchor, around, doc, packed = (b.column(k).to_numpy() for k in range(4))
-            new = np.concatenate([[last is None or anchor[0] != last[0] or around[0] != last[1]], (anchor[1:] != anchor[:-1]) | (around[1:] != around[:-1])])
-            first = np.flatnonzero(new)
-            if not len(first) or first[0]:
-                first = np.concatenate([[0], first])
-            lead = doc[first].copy()
-            if not new[0]:
-                lead[0] = last[2]
-            least = np.repeat(lead, np.diff(np.append(first, len(doc))))
-            last = (anchor[-1], around[-1], least[-1])
-            settled = doc > least
             place = packed >> 32
-            if settled.any():
-                yield out(None, *merged(doc[settled], np.maximum(place[settled] - BEFORE, 0), place[settled] + AFTER))
+            first = starts_of([anchor, around])
+            goes_on = last is not None and anchor[0] == last[0] and around[0] == last[1]
+            lead, lead_place, behind = doc[first].copy(), place[first].copy(), np.zeros(len(first), np.int64)
+            if goes_on:
+                lead[0], lead_place[0], behind[0] = last[2:]
+            group = over_groups(np.arange(len(first)), first, len(doc))
+            settled = doc > lead[group]
+            rank = np.cumsum(settled)
+            nth = rank - 1 - (rank[first] - settled[first])[group] + behind[group]
+            k = np.flatnonzero(settled)
+            if len(k):
+                yield found(doc[k], place[k], nth[k] // COPY_ROWS, anchor[k], around[k])
+                heads = k[nth[k] % COPY_ROWS == 0]
+                yield found(lead[group[heads]], lead_place[group[heads]], nth[heads] // COPY_ROWS, anchor[heads], around[heads])
+            in_last = int(settled[first[-1] :].sum()) + int(behind[-1])
+            last = (anchor[-1], around[-1], lead[-1], lead_place[-1], in_last)
             held.append(tuple(x[~settled] for x in (anchor, around, doc, packed)))
             n_held += len(held[-1][0])
             if n_held >= CHUNK_ROWS:
@@ -206,21 +274,21 @@ def compared(rows: DataFrame) -> DataFrame:
                 cut = int(np.searchsorted(x[0], x[0][-1]))
                 whole = cut > 0
                 done = [v[:cut] for v in x] if whole else x
-                c = candidates(*done, all_of_them=not whole) | (done[0] == overflown if overflown is not None else False)
+                c = ends(*done, all_of_them=not whole) | (done[0] == overflown if overflown is not None else False)
                 if c.any():
-                    yield out(done[0][c], done[2][c], done[3][c] >> 32, done[3][c] >> 32)
+                    yield found(done[2][c], done[3][c] >> 32, np.zeros(int(c.sum()), np.int64), done[0][c])
                 if not whole:
                     overflown = x[0][-1]
                 held = [tuple(v[cut:] for v in x)] if whole else []
                 n_held = len(held[0][0]) if held else 0
         if n_held:
             x = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            c = candidates(*x, all_of_them=False) | (x[0] == overflown if overflown is not None else False)
+            c = ends(*x, all_of_them=False) | (x[0] == overflown if overflown is not None else False)
             if c.any():
-                yield out(x[0][c], x[2][c], x[3][c] >> 32, x[3][c] >> 32)
+                yield found(x[2][c], x[3][c] >> 32, np.zeros(int(c.sum()), np.int64), x[0][c])
 
     dealt = rows.repartition(F.coalesce("anchor", F.xxhash64("doc_id"))).sortWithinPartitions("anchor", "around", "doc_id")
-    return dealt.mapInArrow(run, form)
+    return dealt.mapInArrow(run, FOUND)
 
 
 def deep_shallow(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,46 +317,110 @@ def deep_shallow(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.n
     return order, new
 
 
-def suffix_rows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """anchor, doc_id, place, first and last possible start, and the bytes around, of every candidate."""
-    lists = candidates.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("anchor", "start")).alias("_at"))
+BYTES = "kind int, anchor long, around long, lane int, doc_id long, place long, after int, bytes binary"
+COPIES, ENDS = 0, 1
+
+
+def suffix_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The neighbourhood's bytes of every wanted place, padded to AROUND, and how many of them after the place are text."""
+    item = F.struct("anchor", F.coalesce("around", F.lit(0)).alias("around"), F.col("around").isNull().cast("int").alias("kind"), F.col("stop").cast("int").alias("lane"), "start")
+    lists = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(item).alias("_at"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = d.join(lists, d["doc_id"] == F.col("_id")).select("doc_id", "text", "_at")
 
-    def run(b: pa.RecordBatch) -> dict:
-        out: dict = {"anchor": [], "doc_id": [], "place": [], "around": []}
-        for i, t, at in zip(b.column(0).to_pylist(), strings(b.column(1)), b.column(2).to_pylist()):
-            data = t.encode("utf-8", "surrogatepass")
-            for x in at:
-                p = x["start"]
-                if p + GRAM <= len(data):
-                    out["anchor"].append(x["anchor"])
-                    out["doc_id"].append(i)
-                    out["place"].append(p)
-                    out["around"].append(data[max(0, p - BEFORE) : p + AFTER])
-        return out
+    def batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, around, kind, lane, doc, place, after, data = (np.concatenate([p[k] for p in parts]) for k in range(8))
+        n = len(anchor)
+        binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * AROUND).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        cols = [pa.array(kind, pa.int32()), pa.array(anchor), pa.array(around), pa.array(lane, pa.int32()), pa.array(doc), pa.array(place), pa.array(after, pa.int32()), binary]
+        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in BYTES.split(", ")])
 
-    return per_batch(joined, run, "anchor long, doc_id long, place long, around binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, n = [], 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), strings(b.column(1)))):
+                data = t.encode("utf-8", "surrogatepass")
+                at = b.column(2)[k].values
+                place = at.field(4).to_numpy(zero_copy_only=False)
+                here = place + GRAM <= len(data)  # an id that comes again may have a shorter text
+                place = place[here]
+                if len(place):
+                    near = padded(data)[place[:, None] + np.arange(AROUND)]
+                    fields = [at.field(f).to_numpy(zero_copy_only=False)[here] for f in range(4)]
+                    parts.append((*fields, np.full(len(place), i), place, np.minimum(len(data) - place, AFTER), near))
+                    n += len(place)
+                if n >= GATHER_ROWS:
+                    yield batch(parts)
+                    parts, n = [], 0
+            if n:
+                yield batch(parts)
+
+    return joined.mapInArrow(run, BYTES)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of about BYTE_ROWS sorted rows that end where a key ends."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BYTE_ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cut = int(starts_of([t.column(k).to_numpy() for k in keys])[-1])
+            if cut:
+                yield t.slice(0, cut)
+                held = t.slice(cut).to_batches()
+                n = t.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bytes_of(t: pa.Table) -> np.ndarray:
+    """The bytes of rows, AROUND to each."""
+    return np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(-1, AROUND)
+
+
+SPANS = "doc_id long, start long, stop long"
+
+
+def spans_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in merged(doc, start, stop)], ["doc_id", "start", "stop"])
+
+
+def ordered_copies(rows: DataFrame) -> DataFrame:
+    """Cover rows of neighbourhoods that equal one of a smaller document, byte by byte."""
+    keys = ["anchor", "around", "lane"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, keys):
+            first = starts_of([t.column(k).to_numpy() for k in keys])
+            group = over_groups(np.arange(len(first)), first, t.num_rows)
+            doc, place, after = (t.column(k).to_numpy() for k in ("doc_id", "place", "after"))
+            words = bytes_of(t).view(">u8").astype(np.uint64)
+            hit = copies_among(group, np.minimum(place, BEFORE) * 64 + after, words, doc)
+            if hit.any():
+                yield spans_batch(doc[hit], np.maximum(place[hit] - BEFORE, 0), place[hit] + after[hit])
+
+    return dealt.mapInArrow(run, SPANS)
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Cover rows from suffixes that equal a suffix of a smaller document."""
+
+def ordered_ends(rows: DataFrame) -> DataFrame:
+    """Cover rows of suffixes that equal a suffix of a smaller document."""
     # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood.
     lanes = rows.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n")).where(F.col("_n") > LANE_ROWS)
     lanes = lanes.select("_a", F.least(F.lit(WINDOW), F.ceil(F.col("_n") / LANE_ROWS)).cast("int").alias("_lanes"))
-    wide = rows.join(lanes, F.col("anchor") == F.col("_a"), "left").withColumn("_lanes", F.coalesce("_lanes", F.lit(1))).drop("_a")
+    wide = rows.join(lanes, F.col("anchor") == F.col("_a"), "left").withColumn("_lanes", F.coalesce("_lanes", F.lit(1))).drop("_a", "lane")
     spread = wide.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
-    dealt = spread.repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane", "doc_id")
+    dealt = spread.repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane")
 
     def covers(t: pa.Table) -> pa.RecordBatch | None:
-        anchor, doc, place, lane, lanes = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "place", "_lane", "_lanes"))
-        around = t.column("around").to_pylist()
-        size = np.fromiter(map(len, around), np.int64, len(around))
-        before = np.minimum(place, BEFORE)
-        buffer = np.zeros((len(around), AROUND + 8), np.uint8)
-        for k, x in enumerate(around):
-            buffer[k, BEFORE - before[k] : BEFORE - before[k] + len(x)] = np.frombuffer(x, np.uint8)
-        row, back = np.nonzero((np.arange(WINDOW)[None] <= before[:, None]) & (size[:, None] - before[:, None] + np.arange(WINDOW)[None] >= SPAN) & (np.arange(WINDOW)[None] % lanes[:, None] == lane[:, None]))
+        anchor, doc, place, after, lane, lanes = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "place", "after", "_lane", "_lanes"))
+        before, back = np.minimum(place, BEFORE), np.arange(WINDOW)[None]
+        buffer = np.zeros((t.num_rows, AROUND + 8), np.uint8)
+        buffer[:, :AROUND] = bytes_of(t)
+        row, back = np.nonzero((back <= before[:, None]) & (after[:, None] + back >= SPAN) & (back % lanes[:, None] == lane[:, None]))
         if not len(row):
             return None
         flat = buffer.ravel()
@@ -296,50 +428,36 @@ def ordered(rows: DataFrame) -> DataFrame:
         eight = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,))
         words = np.stack([eight[base + 8 * k] for k in range(SPAN // 8)] + [eight[base + SPAN - 8]], axis=1).astype(np.uint64)
         _, g = np.unique(anchor, return_inverse=True)
-        group = g[row] * WINDOW + back
-        order, new = deep_shallow(group, words)
+        order, new = deep_shallow(g[row] * WINDOW + back, words)
         first = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc[row[order]], first), np.diff(np.append(first, len(order))))
+        least = over_groups(np.minimum.reduceat(doc[row[order]], first), first, len(order))
         hit = order[doc[row[order]] > least]
         if not len(hit):
             return None
         start = place[row[hit]] - back[hit]
-        d, s, e = merged(doc[row[hit]], start, start + SPAN)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], ["doc_id", "start", "stop"])
+        return spans_batch(doc[row[hit]], start, start + SPAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= 8000:
-                t = pa.Table.from_batches(held).combine_chunks()
-                a, lane = t.column("anchor").to_numpy(), t.column("_lane").to_numpy()
-                cut = int(np.flatnonzero((a != a[-1]) | (lane != lane[-1])).max(initial=-1)) + 1
-                if cut:
-                    got = covers(t.slice(0, cut))
-                    if got is not None:
-                        yield got
-                    held = t.slice(cut).to_batches()
-                    n = t.num_rows - cut
-        if n:
-            got = covers(pa.Table.from_batches(held).combine_chunks())
+        for t in by_key(batches, ["anchor", "_lane"]):
+            got = covers(t)
             if got is not None:
                 yield got
 
-    return dealt.mapInArrow(run, "doc_id long, start long, stop long")
+    return dealt.mapInArrow(run, SPANS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Written table of cover spans (doc_id, start, stop), overlapping and unclipped."""
+    """Written tables of cover spans (doc_id, start, stop), overlapping and unclipped."""
     spark = docs.sparkSession
     first = written(compared(scanned(docs)), "spans")
     release(spark)
-    wanted = first.where("anchor IS NOT NULL").select("anchor", "doc_id", "start")
-    second = written(ordered(written(suffix_rows(wanted, docs), "suffixes")), "spans")
+    rows = written(suffix_rows(first.where("anchor IS NOT NULL"), docs), "suffixes", ["kind"], compression="zstd")
+    release(spark)
+    copies = written(ordered_copies(rows.where(F.col("kind") == COPIES).drop("kind")), "spans")
+    release(spark)
+    ends = written(ordered_ends(rows.where(F.col("kind") == ENDS).drop("kind", "around")), "spans")
     release(spark)
-    return first.where("anchor IS NULL").select("doc_id", "start", "stop").union(second)
+    return first.where("anchor IS NULL").select("doc_id", "start", "stop").union(copies).union(ends)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

@@ -563,3 +563,24 @@ def test_pipeline_keeps_columns(spark):
     n = out.count()
     assert 0 < n <= d.count()
     assert corpus_pipeline.STAGES[-1][1](spark, out, sf).select("doc_id").distinct().count() == n
+
+
+def test_suffix_dedup_in_small_parts(spark, monkeypatch):
+    """The same where neighbourhoods go over many lanes and rows over many chunks."""
+    for name, n in (("COPY_ROWS", 2), ("GATHER_ROWS", 40), ("CHUNK_ROWS", 150), ("LANE_ROWS", 3)):
+        monkeypatch.setattr(suffixes, name, n)
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    passage, base = " ".join(word() for _ in range(30)), " ".join(word() for _ in range(150))
+    rows = [(k, " ".join(word() for _ in range(r.randint(0, 40))) + (passage if k % 2 else "") + (base if k % 5 == 0 else base[: 20 * k]) + word()) for k in range(60)]
+    rows += [(100 + k, base) for k in range(12)] + [(200, "z" * 400), (201, "z" * 120), (202, None)]
+    r.shuffle(rows)
+    got = by_id(suffixes.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert brute_spans(rows) == {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in got.items()}
+
+
+def test_copies_are_told_by_bytes():
+    """Equal hashes do not matter: of a group's neighbourhoods only those with the same bytes and edges are copies."""
+    words = np.array([[1] * 11, [1] * 11, [1] * 10 + [2], [1] * 11], np.uint64)
+    hit = suffixes.copies_among(np.zeros(4, np.int64), np.array([9, 9, 9, 8]), words, np.array([5, 7, 8, 9]))
+    assert hit.tolist() == [False, True, False, False]
