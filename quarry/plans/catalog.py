@@ -124,6 +124,25 @@ def postings(t):
     return t.index.postings.select("term", "doc_id", "doc_len", "tf")
 
 
+@query(f"WITH {POST} SELECT term, doc_id, doc_len, tf FROM post WHERE term IN ('on', 'tion', 'ing', 'ciónar', 'es')")
+def posting_scan(t):
+    """Postings of some terms, from the directories that their hashes name."""
+    return t.index.scan(["on", "tion", "ing", "ciónar", "es"]).select("term", "doc_id", "doc_len", "tf")
+
+
+@query(f"WITH {POST} SELECT term, doc_id, tf FROM post JOIN documents USING (doc_id) WHERE term IN ('on', 'tion', 'ing', 'es') AND source = 'src1'")
+def host_posting_scan(t):
+    return t.index.scan(["on", "tion", "ing", "es"], "src1").select("term", "doc_id", "tf")
+
+
+@query(f"""WITH {POST}, n AS (SELECT term, count(*) AS df FROM post WHERE doc_id % 10 <> 1 GROUP BY term), x AS (SELECT doc_id + 5000000 AS doc_id, unnest(list_distinct({tok('lang')})) AS term FROM documents WHERE doc_id % 10 = 0),
+    kept AS (SELECT term, doc_id FROM post WHERE doc_id % 10 <> 1 UNION ALL SELECT term, doc_id FROM x) SELECT term, count(*) AS df FROM kept GROUP BY 1""")
+def reindexed(t):
+    """Term frequencies after some documents were removed and others added."""
+    new = t.documents.where("doc_id % 10 = 0").select((F.col("doc_id") + 5000000).alias("doc_id"), F.lit("").alias("title"), F.col("lang").alias("text"))
+    return t.index.reindexed(new, t.documents.where("doc_id % 10 = 1").select("doc_id")).terms
+
+
 @query(f"WITH {POST} SELECT term, df FROM df")
 def term_doc_freq(t):
     return t.index.terms
