@@ -181,6 +181,24 @@ def bounds(queries: DataFrame, index: Index) -> DataFrame:
     return terms.select("query_id", "term", F.round("bound", 6).alias("bound"), F.round(F.sum("bound").over(rest), 6).alias("rest"))
 
 
+def pruned(queries: DataFrame, index: Index, k: int = 10, first: int = 2) -> DataFrame:
+    """The same k best documents with fewer postings scored. The `first` rarest terms of a query give a score that k
+    documents reach; a term belongs to the essential ones as long as it and all commoner terms could lift a document to
+    it. Only documents with an essential term are scored, by all terms."""
+    order = [F.desc("idf"), F.asc("term")]
+    rest = F.sum(F.col("idf") * (S.K1 + 1)).over(Window.partitionBy("query_id").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    terms = weighted(queries, index).withColumns({"_rest": rest, "_place": F.row_number().over(Window.partitionBy("query_id").orderBy(*order))})
+    terms = written(terms, "query-terms")
+    part = F.sum(F.col("idf") * S.saturation(F.col("tf"), F.col("doc_len"), F.col("mean_len")))
+    post = index.postings
+    rare = terms.where(F.col("_place") <= first).join(post, "term").groupBy("query_id", "doc_id").agg(part.alias("score"))
+    reached = kth(rare, k).select("query_id", F.col("kth").alias("_kth"))
+    essential = terms.join(reached, "query_id", "left").where(F.col("_rest") >= F.coalesce("_kth", F.lit(0.0)) - 1e-6).select("query_id", "term")
+    candidates = essential.join(post.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    scores = terms.join(post, "term").join(candidates, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.round(part, 6).alias("score"))
+    return top(scores, k).select("query_id", "rank", "doc_id", "score")
+
+
 def kth(hits: DataFrame, k: int) -> DataFrame:
     """The k-th largest score of every query that has as many hits."""
     return top(hits, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))

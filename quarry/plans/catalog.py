@@ -207,6 +207,11 @@ def score_bounds(t):
     return V.bounds(asked(t), t.index)
 
 
+@query(f"WITH {SCORED} {top_sql('scored', 10)}")
+def bm25_pruned(t):
+    return V.pruned(asked(t), t.index)
+
+
 @query(f"WITH {SCORED}, r AS ({top_sql('scored', 10)}) SELECT query_id, score AS kth FROM r WHERE rank = 10")
 def kth_score(t):
     return V.kth(V.bm25_hits(asked(t), t.index, 10), 10)

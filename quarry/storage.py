@@ -33,14 +33,25 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, by: list[str] = [], **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, in directories by the columns `by`: lineage ends here, and lost
-    executors lose nothing of it."""
+def write(df: DataFrame, tag: str, by: list[str] = [], **options: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, in directories by the columns `by`, and its path: lineage ends here,
+    and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     out = df.write.options(**options)
     (out.partitionBy(*by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, tag: str, by: list[str] = [], **options: str) -> DataFrame:
+    """The table of `write` alone."""
+    return write(df, tag, by, **options)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Versions:

@@ -76,6 +76,7 @@ def test_bm25_by_blocks_by_shuffle_and_by_hand(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "TERM_BOUND", 100)
     monkeypatch.setattr(retrieve, "CELLS", 3)
     assert {(r.query_id, r.doc_id, r.score) for r in retrieve.bm25(q, ix).collect()} == want
+    assert {(r.query_id, r.doc_id, r.score) for r in retrieve.pruned(q, ix, 1).collect()} == {x for x in want if x[2] == max(y[2] for y in want if y[0] == x[0])}
     here = retrieve.bm25(q, ix, where=F.col("host") == "a.org")
     assert {(r.query_id, r.doc_id, r.score) for r in here.collect()} == {x for x in want if x[1] != 2}
     assert retrieve.bm25(q.limit(0), ix).count() == 0
