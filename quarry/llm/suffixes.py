@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, write
 from .common import documents_schema, fresh, per_batch, prepare, release, strings, table, written
 from .minhash import BASE, mixed
 
@@ -406,42 +407,93 @@ def ordered_copies(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
+END = "anchor long, doc_id long, place long, after int, bytes binary, _lanes int, _lane int"
+
+
+def suffixes_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and start (bytes before the place) of every whole suffix of rows in their lanes, and the suffixes as words."""
+    place, after, lane, lanes = (t.column(c).to_numpy() for c in ("place", "after", "_lane", "_lanes"))
+    before, back = np.minimum(place, BEFORE), np.arange(WINDOW)[None]
+    row, back = np.nonzero((back <= before[:, None]) & (after[:, None] + back >= SPAN) & (back % lanes[:, None] == lane[:, None]))
+    buffer = np.zeros((t.num_rows, AROUND + 8), np.uint8)
+    buffer[:, :AROUND] = bytes_of(t)
+    flat = buffer.ravel()
+    base = row * (AROUND + 8) + BEFORE - back
+    eight = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,))
+    words = np.stack([eight[base + 8 * k] for k in range(SPAN // 8)] + [eight[base + SPAN - 8]], axis=1).astype(np.uint64)
+    return row, back, words
+
+
+def repeats_in(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and starts of those suffixes that a smaller document among the rows has too."""
+    row, back, words = suffixes_of(t)
+    if not len(row):
+        return row, back
+    doc = t.column("doc_id").to_numpy()[row]
+    _, g = np.unique(t.column("anchor").to_numpy(), return_inverse=True)
+    order, new = deep_shallow(g[row] * WINDOW + back, words)
+    first = np.flatnonzero(new)
+    hit = order[doc[order] > over_groups(np.minimum.reduceat(doc[order], first), first, len(order))]
+    return row[hit], back[hit]
+
+
+def spans_at(t: pa.Table | pa.RecordBatch, row: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
+    start = t.column("place").to_numpy()[row] - back
+    return spans_batch(t.column("doc_id").to_numpy()[row], start, start + SPAN)
+
+
+def thinned(rows: DataFrame) -> DataFrame:
+    """Rows of very common anchors, a row to each start of a suffix, without those that a task can settle itself: of equal
+    suffixes in a few thousand rows the smallest document's go on. Settled spans are rows without an anchor, whose start
+    and stop stand in place and _lane."""
+
+    names = [f.split()[0] for f in END.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches, GATHER_ROWS):
+            row, back = repeats_in(b)
+            left = np.ones(b.num_rows, bool)
+            left[row] = False
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(left)).columns, names)
+            if len(row):
+                spans = spans_at(b, row, back)
+                zero, none = pa.array(np.zeros(spans.num_rows, np.int32)), lambda kind: pa.nulls(spans.num_rows, kind)
+                cols = [none(pa.int64()), spans.column(0), spans.column(1), zero, none(pa.binary()), zero, spans.column(2).cast(pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(run, END)
+
+
 def ordered_ends(rows: DataFrame) -> DataFrame:
     """Cover rows of suffixes that equal a suffix of a smaller document."""
-    # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood.
+    # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood, a very common one's are thinned first.
     lanes = rows.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n")).where(F.col("_n") > LANE_ROWS)
-    lanes = lanes.select("_a", F.least(F.lit(WINDOW), F.ceil(F.col("_n") / LANE_ROWS)).cast("int").alias("_lanes"))
-    wide = rows.join(lanes, F.col("anchor") == F.col("_a"), "left").withColumn("_lanes", F.coalesce("_lanes", F.lit(1))).drop("_a", "lane")
-    spread = wide.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
-    dealt = spread.repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane")
-
-    def covers(t: pa.Table) -> pa.RecordBatch | None:
-        anchor, doc, place, after, lane, lanes = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "place", "after", "_lane", "_lanes"))
-        before, back = np.minimum(place, BEFORE), np.arange(WINDOW)[None]
-        buffer = np.zeros((t.num_rows, AROUND + 8), np.uint8)
-        buffer[:, :AROUND] = bytes_of(t)
-        row, back = np.nonzero((back <= before[:, None]) & (after[:, None] + back >= SPAN) & (back % lanes[:, None] == lane[:, None]))
-        if not len(row):
-            return None
-        flat = buffer.ravel()
-        base = row * (AROUND + 8) + BEFORE - back
-        eight = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,))
-        words = np.stack([eight[base + 8 * k] for k in range(SPAN // 8)] + [eight[base + SPAN - 8]], axis=1).astype(np.uint64)
-        _, g = np.unique(anchor, return_inverse=True)
-        order, new = deep_shallow(g[row] * WINDOW + back, words)
-        first = np.flatnonzero(new)
-        least = over_groups(np.minimum.reduceat(doc[row[order]], first), first, len(order))
-        hit = order[doc[row[order]] > least]
-        if not len(hit):
-            return None
-        start = place[row[hit]] - back[hit]
-        return spans_batch(doc[row[hit]], start, start + SPAN)
+    lanes = written(lanes.select("_a", F.least(F.lit(WINDOW), F.ceil(F.col("_n") / LANE_ROWS)).cast("int").alias("_lanes")), "lanes")
+    wide = rows.drop("lane").join(lanes, F.col("anchor") == F.col("_a"), "left").drop("_a").withColumn("_lanes", F.coalesce("_lanes", F.lit(1)))
+    spread = wide.where(F.col("_lanes") < WINDOW).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
+    very = rows.drop("lane").join(lanes.where(F.col("_lanes") == WINDOW), F.col("anchor") == F.col("_a")).drop("_a").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))))
+    names = [f.split()[0] for f in END.split(", ")]
+    every = spread.select(*names).union(thinned(very.select(*names)))
+    dealt = every.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "place")), "_lane").sortWithinPartitions("anchor", "_lane")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, ["anchor", "_lane"]):
-            got = covers(t)
-            if got is not None:
-                yield got
+        def rest() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                settled = b.filter(b.column(0).is_null())
+                if settled.num_rows:
+                    done.append(pa.RecordBatch.from_arrays([settled.column(1), settled.column(2), settled.column(6).cast(pa.int64())], ["doc_id", "start", "stop"]))
+                    b = b.filter(b.column(0).is_valid())
+                if b.num_rows:
+                    yield b
+
+        done: list[pa.RecordBatch] = []
+        for t in by_key(rest(), ["anchor", "_lane"]):
+            yield from done
+            done.clear()
+            row, back = repeats_in(t)
+            if len(row):
+                yield spans_at(t, row, back)
+        yield from done
 
     return dealt.mapInArrow(run, SPANS)
 
@@ -451,12 +503,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     first = written(compared(scanned(docs)), "spans")
     release(spark)
-    rows = written(suffix_rows(first.where("anchor IS NOT NULL"), docs), "suffixes", ["kind"], compression="zstd")
+    rows, path = write(suffix_rows(first.where("anchor IS NOT NULL"), docs), "suffixes", ["kind"], compression="zstd")
     release(spark)
     copies = written(ordered_copies(rows.where(F.col("kind") == COPIES).drop("kind")), "spans")
     release(spark)
     ends = written(ordered_ends(rows.where(F.col("kind") == ENDS).drop("kind", "around")), "spans")
     release(spark)
+    drop(spark, path)
     return first.where("anchor IS NULL").select("doc_id", "start", "stop").union(copies).union(ends)
 
 
