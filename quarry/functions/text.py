@@ -25,9 +25,8 @@ PARKED_TITLES = ["domain for sale", "this domain is for sale", "buy this domain"
 
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words of two signs or more, stopwords left out."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
-    return F.filter(parts, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 
 def letter_tokens(text: Column) -> Column:

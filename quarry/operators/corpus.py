@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
+from ..storage import spread
 
 
 def census(rows: DataFrame, by: Column, name: str, words: str = "body_len") -> DataFrame:
@@ -125,7 +126,7 @@ def stuffed(docs: DataFrame, span: int = 8, often: int = 3, least_words: int = 1
             keep = pa.array([is_stuffed(t or "") for t in b.column(1).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep)], ["doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long")
 
 
 def under_suffixes(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:

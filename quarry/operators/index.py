@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..storage import written
+from ..storage import spread, written
 
 #: Directories that postings are dealt to by term.
 TERM_BUCKETS = 16
@@ -83,7 +83,7 @@ class Index:
     @classmethod
     def of(cls, docs: DataFrame, tokenize: Callable = words_of) -> Index:
         """Tokenises docs once and writes what searches read."""
-        return cls.over(written(forward(docs, tokenize), "forward"))
+        return cls.over(written(forward(spread(docs), tokenize), "forward"))
 
     @classmethod
     def over(cls, rows: DataFrame) -> Index:

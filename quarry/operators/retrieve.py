@@ -144,7 +144,7 @@ def boosted(queries: DataFrame, index: Index, boosts: DataFrame, k: int) -> Data
     few = boosts.limit(SEED_IDS + 1).count() <= SEED_IDS
     b = boosts.select(F.col("doc_id").alias("_d"), "boost")
     s = scored(queries, index).join(b, F.col("doc_id") == F.col("_d"), "left")
-    s = written_hits(s.select("query_id", "doc_id", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6).alias("score")))
+    s = written(s.select("query_id", "doc_id", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6).alias("score")), "hits")
     if few:
         ids = [(r[0], r[1]) for r in b.collect()]
         pairs = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("doc_id"), F.lit(float(x)).alias("boost")) for i, x in ids])) if ids else None
@@ -154,10 +154,6 @@ def boosted(queries: DataFrame, index: Index, boosts: DataFrame, k: int) -> Data
     return top(s, k).select("query_id", "rank", "doc_id", "score")
 
 
-def written_hits(hits: DataFrame) -> DataFrame:
-    return written(hits, "hits")
-
-
 def best_spans(queries: DataFrame, passages: DataFrame, key: Column, k: int) -> DataFrame:
     """The k best documents by their best passage, with that passage's byte_offset and byte_length. passages: vec_id,
     embedding and the spans; key: the passage's document."""
@@ -301,6 +297,7 @@ def like_terms(index: Index, sources: DataFrame, n: int = 10) -> DataFrame:
 def feedback_terms(hits: DataFrame, docs: DataFrame, queries: DataFrame, top_docs: int = 10, chars: int = 2000, floor: int = 2, n: int = 5, least_hits: int = 3) -> DataFrame:
     """Terms that several of a query's first documents hold and the query does not; none for a query with fewer than
     least_hits hits."""
+    hits = written(hits, "hits")  # read twice
     enough = hits.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_hits).select("query_id")
     wanted = hits.where(F.col("rank") <= top_docs).join(enough, "query_id", "left_semi").select("query_id", "doc_id")
     heads = docs.select("doc_id", F.substring("text", 1, chars).alias("_h")).join(wanted.select("doc_id").distinct(), "doc_id")

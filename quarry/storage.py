@@ -48,6 +48,13 @@ def written(df: DataFrame, tag: str, by: list[str] = [], **options: str) -> Data
     return write(df, tag, by, **options)[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it comes in so few partitions that most would idle: a file of one row group is read by
+    one task, however many there are. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing will read any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
