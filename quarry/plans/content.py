@@ -76,7 +76,7 @@ def resolved_links(t):
     return rows.select("page_id", "href", U.resolved(F.col("url"), F.col("href")).alias("link"))
 
 
-@query(f"SELECT page_id, CASE WHEN {HOST} = 'tion.example.net' OR {HOST} LIKE '%.tion.example.net' THEN 3.0 WHEN {HOST} = 'example.net' OR {HOST} LIKE '%.example.net' THEN 1.5 WHEN {HOST} LIKE '%.org' OR {HOST} = 'org' THEN 0.5 ELSE 1.0 END AS boost FROM pages")
+@query(f"SELECT page_id, CASE WHEN {HOST} = 'tion.example.net' OR {HOST} LIKE '%.tion.example.net' THEN 3.0 WHEN {HOST} = 'example.net' OR {HOST} LIKE '%.example.net' THEN 1.5 WHEN {HOST} LIKE '%.org' OR {HOST} = 'org' THEN 0.5 ELSE 1.0 END::DOUBLE AS boost FROM pages")
 def host_boost(t):
     b = t.spark.createDataFrame([("example.net", 1.5), ("Tion.example.net", 3.0), ("org", 0.5), ("", 9.0)], "suffix string, boost double")
     return U.host_boosts(t.pages.select("page_id", "url"), F.col("url"), b).select("page_id", "boost")
@@ -233,18 +233,15 @@ def link_priorities(t):
 # --- replies
 
 
-REPLIED = "CASE conv_id % 4 WHEN 0 THEN '```json\n[\"a {x}\", \"b\"]\n```' WHEN 1 THEN 'Sure: [\"q{x}\"] as asked' WHEN 2 THEN 'no list' ELSE '[]' END"
-
-
 def reply(t: Tables) -> DataFrame:
     k, x = F.col("conv_id") % 4, F.col("turn").cast("string")
     raw = F.when(k == 0, F.concat(F.lit('```json\n["a '), x, F.lit('", "b"]\n```'))).when(k == 1, F.concat(F.lit('Sure: ["q'), x, F.lit('"] as asked'))).when(k == 2, "no list").otherwise("[]")
     return t.conversations.select("conv_id", "turn", raw.alias("reply"))
 
 
-@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN ['a ' || turn, 'b'] WHEN 1 THEN ['q' || turn] ELSE ['asked'] END AS queries FROM conversations")
+@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'a ' || turn || '|b' WHEN 1 THEN 'q' || turn ELSE 'asked' END AS queries FROM conversations")
 def reply_lists(t):
-    return reply(t).select("conv_id", "turn", P.string_list(F.col("reply"), F.lit("asked")).alias("queries"))
+    return reply(t).select("conv_id", "turn", F.array_join(P.string_list(F.col("reply"), F.lit("asked")), "|").alias("queries"))
 
 
 @query("""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'compare' ELSE 'research' END AS intent, CASE conv_id % 4 WHEN 0 THEN 5 ELSE 1 END::INT AS n_queries,
