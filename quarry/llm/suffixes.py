@@ -12,8 +12,9 @@ remaining groups with long common prefixes, blind tries, built level by level fo
 words where a group branches. Equal neighbours in that order are the repeats; all but the smallest document's go.
 
 A passage in a great many documents does not pile up: each batch orders its own neighbourhoods first and sends on one row
-of equal ones, a neighbourhood with many rows left is dealt to lanes with its smallest document in each, and suffixes
-around a common anchor are dealt by their place in the neighbourhood.
+of equal ones, a neighbourhood with many rows left is dealt to lanes with its smallest document in each, suffixes around
+a common anchor are dealt by their place in the neighbourhood, and those around a very common one by their own bytes,
+after each task has kept only the smallest document's of equal ones.
 
 Two neighbourhoods that differ in bytes but not in 128 bits of hash are told apart, but what else their second one
 shares with others may be missed.
@@ -49,6 +50,8 @@ SHALLOW = 2
 CHUNK_ROWS = 100_000
 #: Suffix rows of one anchor beyond which it is dealt to more lanes, and rows of one neighbourhood in a lane.
 LANE_ROWS, COPY_ROWS = 1000, 5000
+#: Lanes beyond which an anchor is very common: its suffixes are thinned and dealt by their bytes.
+MOST_LANES = 3
 #: Rows that are gathered before they are worked on, and rows of bytes.
 GATHER_ROWS, BYTE_ROWS = 20_000, 8000
 WORDS = AROUND // 8
@@ -407,12 +410,9 @@ def ordered_copies(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
-END = "anchor long, doc_id long, place long, after int, bytes binary, _lanes int, _lane int"
-
-
-def suffixes_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffixes_of(t: pa.Table | pa.RecordBatch, lane: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and start (bytes before the place) of every whole suffix of rows in their lanes, and the suffixes as words."""
-    place, after, lane, lanes = (t.column(c).to_numpy() for c in ("place", "after", "_lane", "_lanes"))
+    place, after = t.column("place").to_numpy(), t.column("after").to_numpy()
     before, back = np.minimum(place, BEFORE), np.arange(WINDOW)[None]
     row, back = np.nonzero((back <= before[:, None]) & (after[:, None] + back >= SPAN) & (back % lanes[:, None] == lane[:, None]))
     buffer = np.zeros((t.num_rows, AROUND + 8), np.uint8)
@@ -424,78 +424,100 @@ def suffixes_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, n
     return row, back, words
 
 
-def repeats_in(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and starts of those suffixes that a smaller document among the rows has too."""
-    row, back, words = suffixes_of(t)
-    if not len(row):
-        return row, back
-    doc = t.column("doc_id").to_numpy()[row]
-    _, g = np.unique(t.column("anchor").to_numpy(), return_inverse=True)
-    order, new = deep_shallow(g[row] * WINDOW + back, words)
+def repeats(group: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Those suffixes that equal a suffix of a smaller document in their group."""
+    order, new = deep_shallow(group, words)
     first = np.flatnonzero(new)
-    hit = order[doc[order] > over_groups(np.minimum.reduceat(doc[order], first), first, len(order))]
-    return row[hit], back[hit]
+    if not len(first):
+        return order
+    return order[doc[order] > over_groups(np.minimum.reduceat(doc[order], first), first, len(order))]
 
 
-def spans_at(t: pa.Table | pa.RecordBatch, row: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
-    start = t.column("place").to_numpy()[row] - back
-    return spans_batch(t.column("doc_id").to_numpy()[row], start, start + SPAN)
+THIN = "doc_id long, start long, stop long, suffix binary"
 
 
 def thinned(rows: DataFrame) -> DataFrame:
-    """Rows of very common anchors, a row to each start of a suffix, without those that a task can settle itself: of equal
-    suffixes in a few thousand rows the smallest document's go on. Settled spans are rows without an anchor, whose start
-    and stop stand in place and _lane."""
+    """Suffixes of very common anchors, each by itself, but for those that a task settles: of equal suffixes among a few
+    thousand rows only the smallest document's go on. Settled spans have no suffix."""
 
-    names = [f.split()[0] for f in END.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in THIN.split(", ")]
+        for b in gathered(batches, BYTE_ROWS):
+            row, back, words = suffixes_of(b, np.zeros(b.num_rows, np.int64), np.ones(b.num_rows, np.int64))
+            if not len(row):
+                continue
+            doc, start = b.column("doc_id").to_numpy()[row], b.column("place").to_numpy()[row] - back
+            _, g = np.unique(b.column("anchor").to_numpy(), return_inverse=True)
+            hit = repeats(g[row] * WINDOW + back, words, doc)
+            if len(hit):
+                spans = spans_batch(doc[hit], start[hit], start[hit] + SPAN)
+                yield pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(spans.num_rows, pa.binary())], names)
+            left = np.ones(len(row), bool)
+            left[hit] = False
+            k = np.flatnonzero(left)
+            text = bytes_of(b)[row[k][:, None], BEFORE - back[k][:, None] + np.arange(SPAN)]
+            binary = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * SPAN).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text))])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(start[k]), pa.array(start[k] + SPAN), binary], names)
+
+    return rows.mapInArrow(run, THIN)
+
+
+def ordered_thin(rows: DataFrame) -> DataFrame:
+    """Cover rows of thinned suffixes. They are dealt by their bytes, so equal ones meet and no anchor stays together."""
+    dealt = rows.repartition(F.coalesce(F.xxhash64("suffix"), F.xxhash64("doc_id", "start"))).sortWithinPartitions("suffix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # document, start and words of the suffixes that the end of the rows before equals
+
+        def settled(doc: np.ndarray, start: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            hit = repeats(np.zeros(len(doc), np.int64), words, doc)
+            if len(hit):
+                yield spans_batch(doc[hit], start[hit], start[hit] + SPAN)
+
         for b in gathered(batches, GATHER_ROWS):
-            row, back = repeats_in(b)
-            left = np.ones(b.num_rows, bool)
-            left[row] = False
-            yield pa.RecordBatch.from_arrays(b.filter(pa.array(left)).columns, names)
-            if len(row):
-                spans = spans_at(b, row, back)
-                zero, none = pa.array(np.zeros(spans.num_rows, np.int32)), lambda kind: pa.nulls(spans.num_rows, kind)
-                cols = [none(pa.int64()), spans.column(0), spans.column(1), zero, none(pa.binary()), zero, spans.column(2).cast(pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            done = b.filter(b.column(3).is_null())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays(done.columns[:3], ["doc_id", "start", "stop"])
+                b = b.filter(b.column(3).is_valid())
+            if not b.num_rows:
+                continue
+            text = np.zeros((b.num_rows, 56), np.uint8)
+            text[:, :SPAN] = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SPAN)
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), text.view(">u8").astype(np.uint64)))
+            doc, start, words = (np.concatenate([h[k] for h in held]) for k in range(3))
+            differs = np.flatnonzero((words[1:] != words[:-1]).any(axis=1))
+            cut = int(differs[-1]) + 1 if len(differs) else 0
+            if cut:
+                yield from settled(doc[:cut], start[:cut], words[:cut])
+            held = [(doc[cut:], start[cut:], words[cut:])]
+        if held:
+            yield from settled(*held[0])
 
-    return rows.mapInArrow(run, END)
+    return dealt.mapInArrow(run, SPANS)
 
 
 def ordered_ends(rows: DataFrame) -> DataFrame:
     """Cover rows of suffixes that equal a suffix of a smaller document."""
-    # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood, a very common one's are thinned first.
+    # A common anchor's suffixes are dealt to lanes by their place in the neighbourhood, a very common one's by their bytes.
     lanes = rows.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n")).where(F.col("_n") > LANE_ROWS)
-    lanes = written(lanes.select("_a", F.least(F.lit(WINDOW), F.ceil(F.col("_n") / LANE_ROWS)).cast("int").alias("_lanes")), "lanes")
-    wide = rows.drop("lane").join(lanes, F.col("anchor") == F.col("_a"), "left").drop("_a").withColumn("_lanes", F.coalesce("_lanes", F.lit(1)))
-    spread = wide.where(F.col("_lanes") < WINDOW).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
-    very = rows.drop("lane").join(lanes.where(F.col("_lanes") == WINDOW), F.col("anchor") == F.col("_a")).drop("_a").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))))
-    names = [f.split()[0] for f in END.split(", ")]
-    every = spread.select(*names).union(thinned(very.select(*names)))
-    dealt = every.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "place")), "_lane").sortWithinPartitions("anchor", "_lane")
+    lanes = written(lanes.select("_a", F.ceil(F.col("_n") / LANE_ROWS).cast("int").alias("_lanes")), "lanes")
+    known = rows.drop("lane").join(lanes, F.col("anchor") == F.col("_a"), "left").drop("_a").withColumn("_lanes", F.coalesce("_lanes", F.lit(1)))
+    spread = known.where(F.col("_lanes") <= MOST_LANES).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
+    very = rows.join(lanes.where(F.col("_lanes") > MOST_LANES), F.col("anchor") == F.col("_a"), "left_semi").select("anchor", "doc_id", "place", "after", "bytes")
+    dealt = spread.repartition("anchor", "_lane").sortWithinPartitions("anchor", "_lane")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rest() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                settled = b.filter(b.column(0).is_null())
-                if settled.num_rows:
-                    done.append(pa.RecordBatch.from_arrays([settled.column(1), settled.column(2), settled.column(6).cast(pa.int64())], ["doc_id", "start", "stop"]))
-                    b = b.filter(b.column(0).is_valid())
-                if b.num_rows:
-                    yield b
-
-        done: list[pa.RecordBatch] = []
-        for t in by_key(rest(), ["anchor", "_lane"]):
-            yield from done
-            done.clear()
-            row, back = repeats_in(t)
-            if len(row):
-                yield spans_at(t, row, back)
-        yield from done
+        for t in by_key(batches, ["anchor", "_lane"]):
+            row, back, words = suffixes_of(t, t.column("_lane").to_numpy(), t.column("_lanes").to_numpy())
+            if not len(row):
+                continue
+            doc, start = t.column("doc_id").to_numpy()[row], t.column("place").to_numpy()[row] - back
+            _, g = np.unique(t.column("anchor").to_numpy(), return_inverse=True)
+            hit = repeats(g[row] * WINDOW + back, words, doc)
+            if len(hit):
+                yield spans_batch(doc[hit], start[hit], start[hit] + SPAN)
 
-    return dealt.mapInArrow(run, SPANS)
+    return dealt.mapInArrow(run, SPANS).union(ordered_thin(thinned(very)))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

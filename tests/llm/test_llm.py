@@ -565,7 +565,7 @@ def test_pipeline_keeps_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, out, sf).select("doc_id").distinct().count() == n
 
 
-@pytest.mark.parametrize("lanes", [3, 0.5])
+@pytest.mark.parametrize("lanes", [12, 3, 0.5])
 def test_suffix_dedup_in_small_parts(spark, monkeypatch, lanes):
     """The same where neighbourhoods go over many lanes and rows over many chunks, and where common anchors are thinned."""
     for name, n in (("COPY_ROWS", 2), ("GATHER_ROWS", 40), ("CHUNK_ROWS", 150), ("LANE_ROWS", lanes)):
