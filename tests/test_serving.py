@@ -13,12 +13,12 @@ from quarry.storage import Versions
 
 @pytest.fixture(scope="module")
 def vectors(spark):
-    x = np.random.default_rng(1).normal(size=(1200, 16))
+    x = np.random.default_rng(1).normal(size=(600, 16))
     return spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
 
 
 def test_graphs_find_and_forget():
-    x = np.random.default_rng(2).normal(size=(1000, 64))
+    x = np.random.default_rng(2).normal(size=(500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = ann.Graph(64)
     for v in x:
@@ -29,7 +29,7 @@ def test_graphs_find_and_forget():
         found += len(truth & {n for _, n in g.search(q, 10)})
     assert found >= 0.85 * 300
     g.remove(0)
-    assert 0 not in {n for _, n in g.search(x[0], 10)} and len(g.compacted()) == 999
+    assert 0 not in {n for _, n in g.search(x[0], 10)} and len(g.compacted()) == 499
     assert all(len(l) <= (g.s.ground_links if layer == 0 else g.s.links) for node in g.near for layer, l in enumerate(node))
     assert ann.Graph(4).search(np.ones(4), 3) == []
 
@@ -37,7 +37,7 @@ def test_graphs_find_and_forget():
 def test_graph_search_over_shards(spark, vectors, monkeypatch):
     q = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
     truth = V.dense(q, vectors, 10)
-    for rows in (4096, 300):
+    for rows in (4096, 200):
         monkeypatch.setattr(ann, "SHARD_ROWS", rows)
         r = ann.recall(truth, ann.graph_search(q, vectors, 10))
         assert r.count() == 40 and r.agg(F.avg("recall")).first()[0] >= 0.9
