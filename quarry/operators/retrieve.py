@@ -156,17 +156,11 @@ def boosted(queries: DataFrame, index: Index, boosts: DataFrame, k: int) -> Data
 
 def best_spans(queries: DataFrame, passages: DataFrame, key: Column, k: int) -> DataFrame:
     """The k best documents by their best passage, with that passage's byte_offset and byte_length. passages: vec_id,
-    embedding and the spans; key: the passage's document."""
-    docs = dense(queries, passages, k, key=key)
-    spans = passages.select("vec_id", key.cast("long").alias("doc_id"), "byte_offset", "byte_length", "embedding")
-    mine = spans.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Only passages of documents that were found are looked at again.
-    pairs = docs.join(mine, "doc_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q, p = F.col("_q"), F.col("embedding")
-    cosine = F.round(dot(q, p) / (F.sqrt(dot(q, q)) * F.sqrt(dot(p, p))), 6)
-    best = pairs.groupBy("query_id", "rank", "doc_id", "score").agg(F.min(F.struct((-cosine).alias("c"), "vec_id", "byte_offset", "byte_length")).alias("_b"))
-    return best.select("query_id", "rank", "doc_id", "score", "_b.byte_offset", "_b.byte_length")
+    embedding and the spans; key: the passage's document. The scan itself carries each document's best passage, so no
+    vector is shuffled."""
+    hits = dense_hits(queries, passages, k, key=key, spans=True)
+    best = hits.groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("c"), "vec_id", "byte_offset", "byte_length")).alias("_b"))
+    return top(best.withColumn("score", -F.col("_b.c")), k).select("query_id", "rank", "doc_id", "score", "_b.byte_offset", "_b.byte_length")
 
 
 def bounds(queries: DataFrame, index: Index) -> DataFrame:
@@ -214,15 +208,19 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(good, norm, 1)[:, None], good
 
 
-def dense_hits(queries: DataFrame, passages: DataFrame, k: int, key: Column | None = None, others_only: bool = False) -> DataFrame:
+def dense_hits(queries: DataFrame, passages: DataFrame, k: int, key: Column | None = None, others_only: bool = False, spans: bool = False) -> DataFrame:
     """At least the k best passages of every query by cosine, by (query_id, doc_id). queries: query_id, embedding;
     passages: vec_id, embedding. With `key` a document is known by it and its best passage counts (all pass on);
-    with others_only a query's own id is no hit. Query vectors beyond VECTOR_BOUND go in several rounds."""
-    p = passages.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", (F.col("vec_id") if key is None else key).cast("long").alias("_key"))
+    with spans a block's k best documents pass on with that passage's vec_id, byte_offset and byte_length, not yet one
+    row a document: a document among the k best of all is so in the block that holds its best passage.
+    With others_only a query's own id is no hit. Query vectors beyond VECTOR_BOUND go in several rounds."""
+    extra = ["byte_offset", "byte_length"] if spans else []
+    shape = ", ".join([HITS, "vec_id long", *(f"{c} {passages.schema[c].dataType.simpleString()}" for c in extra)]) if spans else HITS
+    p = passages.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", (F.col("vec_id") if key is None else key).cast("long").alias("_key"), *extra)
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     size = q.where("embedding IS NOT NULL").agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not size[0]:
-        return queries.sparkSession.createDataFrame([], HITS)
+        return queries.sparkSession.createDataFrame([], shape)
     dim, rounds = int(size[1]), -(-int(size[0]) * int(size[1]) // VECTOR_BOUND)
     out = None
     for n in range(rounds):
@@ -230,18 +228,21 @@ def dense_hits(queries: DataFrame, passages: DataFrame, k: int, key: Column | No
         got = part.toArrow()
         x, good = unit_rows(got.column("embedding").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32())), dim)
         names = np.array(got.column("query_id").to_pylist(), np.int64)[good]
-        more = p.mapInArrow(dense_run(p.sparkSession.sparkContext.broadcast((names, x[good])), dim, k, key is not None, others_only), HITS)
+        more = p.mapInArrow(dense_run(p.sparkSession.sparkContext.broadcast((names, x[good])), dim, k, key is not None, others_only, spans), shape)
         out = more if out is None else out.union(more)
-    return out if key is None else out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return out if key is None or spans else out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def dense_run(sent, dim: int, k: int, keyed: bool, others_only: bool) -> Callable:
+def dense_run(sent, dim: int, k: int, keyed: bool, others_only: bool, spans: bool = False) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
         for b in batches:
             step = max(1, CELLS // max(1, len(names)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
+                if spans:  # a document's passages one after another, those that win ties first
+                    ties = [(part.schema.names[n], "ascending") for n in (2, 0, 3, 4)]
+                    part = part.take(pc.sort_indices(part, sort_keys=ties, null_placement="at_start"))
                 x, good = unit_rows(part.column(1), dim)
                 ids, keys = part.column(0).to_numpy()[good], part.column(2).to_numpy()[good]
                 order = np.argsort(keys if keyed else ids, kind="stable")
@@ -251,11 +252,21 @@ def dense_run(sent, dim: int, k: int, keyed: bool, others_only: bool) -> Callabl
                     s[names[:, None] == ids[None]] = -np.inf
                 if keyed and len(keys):
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    s, keys = np.maximum.reduceat(s, first, axis=1), keys[first]
+                    every, s, keys = s, np.maximum.reduceat(s, first, axis=1), keys[first]
+                    if spans:
+                        r, c = best_of(keys, s, k)
+                        size = np.diff(np.append(first, len(ids)))
+                        at_best = np.where(every == np.repeat(s, size, axis=1), np.arange(len(ids)), len(ids))
+                        won = np.minimum.reduceat(at_best, first, axis=1)[r, c]
+                        rest = part.take(pa.array(np.flatnonzero(good)[order][won]))
+                        hits = hits_batch(names[r], keys[c], s[r, c])
+                        yield pa.RecordBatch.from_arrays([*hits.columns, rest.column(0), rest.column(3), rest.column(4)], [*hits.schema.names, "vec_id", "byte_offset", "byte_length"])
+                        continue
                     r, c = np.nonzero(np.isfinite(s))
                 else:
                     r, c = best_of(ids, s, k)
-                yield hits_batch(names[r], keys[c], s[r, c])
+                if not spans:
+                    yield hits_batch(names[r], keys[c], s[r, c])
 
     return run
 

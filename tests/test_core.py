@@ -1,6 +1,7 @@
 import io
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -106,6 +107,29 @@ def test_dense_hits_in_rounds_and_with_broken_vectors(spark, monkeypatch):
     assert retrieve.dense(q.limit(0), p, 2).count() == 0
 
 
+def test_best_spans_come_out_of_the_scan(spark, monkeypatch):
+    x = np.random.default_rng(6).integers(-2, 3, (240, 3)).astype(float)  # many ties
+    x[:, 0] += 0.5
+    rows = [(n, [float(y) for y in v] if n % 31 else None, n % 7, n * 10, 5 + n % 3) for n, v in enumerate(x)]
+    p = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, byte_offset long, byte_length int").repartition(5)
+    q = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = set()
+    for a, v, *_ in rows[::20]:
+        best = {}
+        for n, w, label, at, size in rows:
+            if v and w:
+                s = round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), 6)
+                best[label] = min(best.get(label, (9.0,)), (-s, n, at, size))
+        for rank, (label, (s, _, at, size)) in enumerate(sorted(best.items(), key=lambda i: (i[1][0], i[0]))[:2], 1):
+            want.add((a, rank, label, -s, at, size))
+    for cells in (4_000_000, 60):
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        got = retrieve.best_spans(q, p, F.col("label"), 2)
+        assert {tuple(r) for r in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert retrieve.best_spans(q.limit(0), p, F.col("label"), 2).count() == 0
+
+
 def test_weights_that_are_no_weights_count_as_one(spark):
     l = [spark.createDataFrame([(1, k, d) for k, d in enumerate(x, 1)], "query_id long, rank int, doc_id long") for x in ((7, 8), (8, 9))]
     even = [tuple(r) for r in retrieve.fused_lists(l, 5).collect()]
