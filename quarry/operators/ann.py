@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import HITS, VECTOR_BOUND, hits_batch, top, unit_rows
+from .retrieve import CELLS, HITS, VECTOR_BOUND, hits_batch, top, unit_rows
 
 #: Passages of a shard.
 SHARD_ROWS = 4096
@@ -209,6 +209,10 @@ class Codebook:
         w = self.width
         return np.stack([squared_distances(x[:, m * w : (m + 1) * w], c).argmin(axis=1) for m, c in enumerate(self.centres)], axis=1).astype(np.uint16)
 
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return np.concatenate([c[codes[:, m]] for m, c in enumerate(self.centres)], axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Squared distance of every part of a query to every centroid."""
         w = self.width
@@ -236,24 +240,82 @@ def train_codebook(passages: DataFrame, parts: int = 8, centroids: int = 64, rou
     return Codebook([k_means(x[good][:, m * w : (m + 1) * w], centroids, rounds, rng) for m in range(parts)])
 
 
+def fine_codes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What codes leave of vectors as a signed byte per component, the step of a vector's bytes, and a bound of the length
+    of what these leave in turn."""
+    step = np.abs(rest).max(axis=1, initial=0) / 127
+    fine = np.rint(rest / np.where(step > 0, step, 1)[:, None]).astype(np.int8)
+    return fine, step, np.linalg.norm(rest - fine * step[:, None], axis=1) + 1e-9
+
+
+def twins_before(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many equal vectors with a smaller id each one has."""
+    _, of = np.unique(x, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    order = np.lexsort((ids, of))
+    n = np.arange(len(ids))
+    new = np.concatenate([[True], of[order][1:] != of[order][:-1]])[: len(ids)]
+    out = np.empty(len(ids), np.int64)
+    out[order] = n - np.maximum.accumulate(np.where(new, n, 0))
+    return out
+
+
 def encoded(passages: DataFrame, book: Codebook) -> DataFrame:
-    """vec_id and code (array of small numbers) of every whole vector."""
+    """vec_id and code (array of small numbers) of every whole vector; fine, step and gap by fine_codes; twins, equal
+    vectors with a smaller id in its batch."""
     dim = book.width * len(book.centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, good = unit_rows(b.column(1), dim)
-            codes = book.encode(x[good]).astype(np.int32).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pa.array(codes, pa.list_(pa.int32()))], ["vec_id", "code"])
+            ids, x = b.column(0).filter(pa.array(good)), x[good]
+            codes = book.encode(x)
+            fine, step, gap = fine_codes(x - book.decoded(codes))
+            columns = [ids, pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([f.tobytes() for f in fine], pa.binary()), pa.array(step), pa.array(gap)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(twins_before(ids.to_numpy(), x), pa.int64())], ["vec_id", "code", "fine", "step", "gap", "twins"])
+
+    return passages.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, code array<int>, fine binary, step double, gap double, twins long")
 
-    return passages.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, code array<int>")
 
+#: Scores are rounded to six digits; bounds that differ by less than this may belong to a tie.
+SLACK = 2e-6
 
-def code_search(queries: DataFrame, codes: DataFrame, book: Codebook, passages: DataFrame | None = None, k: int = 10, widen: int = 20) -> DataFrame:
-    """The k nearest codes of every query; with passages, widen * k of them are ranked again by their vectors."""
+
+def near_codes(sent, book: Codebook, codes: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id of all passages that can be among the k best of a query. A passage's score is its codes' inner
+    product with the query, give or take gap, as query vectors have length one; a passage falls out only if k others
+    surely score higher, or if k equal ones have smaller ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for b in batches if len(names) else ():
+            size = max(1, CELLS // max(1, len(names)))
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                ids, step, gap = (part.column(n).to_numpy() for n in (0, 3, 4))
+                fine = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int8).reshape(len(ids), -1)
+                s = q @ (book.decoded(np.array(part.column(1).to_pylist(), np.int64)) + fine * step[:, None]).T
+                r, c = np.arange(len(names)).repeat(len(ids)), np.tile(np.arange(len(ids)), len(names))
+                if len(ids) > k:
+                    least = np.partition(s - gap, len(ids) - k, axis=1)[:, len(ids) - k]
+                    r, c = np.nonzero(s + gap + SLACK >= least[:, None])
+                hits = hits_batch(names[r], ids[c], s[r, c])
+                yield pa.RecordBatch.from_arrays([*hits.columns, pa.array(gap[c])], [*hits.schema.names, "gap"])
+
+    rows = codes.where(F.col("twins") < k).select("vec_id", "code", "fine", "step", "gap").mapInArrow(run, f"{HITS}, gap double")
+    low = F.col("score") - F.col("gap")
+    every = Window.partitionBy("query_id").orderBy(low.desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    least = F.nth_value(low, k).over(every)  # null: fewer than k
+    return rows.withColumn("_l", least).where(F.col("_l").isNull() | (F.col("score") + F.col("gap") + SLACK >= F.col("_l"))).select("query_id", "doc_id")
+
+
+def code_search(queries: DataFrame, codes: DataFrame, book: Codebook, passages: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """The k nearest codes of every query; with passages, all that can be among the k best by their codes and the codes'
+    errors are ranked again by their vectors, so none of the k best is missed."""
     names, q = sent_queries(queries)
     sent = codes.sparkSession.sparkContext.broadcast((names, q))
-    fetch = k if passages is None else k * widen
+    if passages is not None:
+        return ranked_again(queries, near_codes(sent, book, codes, k), passages, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
@@ -264,17 +326,19 @@ def code_search(queries: DataFrame, codes: DataFrame, book: Codebook, passages:
             out: list[list[np.ndarray]] = [[], [], []]
             for n, v in zip(names, q):
                 d = np.round(-book.distances(v, c), 6)
-                best = np.lexsort((ids, -d))[:fetch]
+                best = np.lexsort((ids, -d))[:k]
                 for col, part in zip(out, (np.full(len(best), n), ids[best], d[best])):
                     col.append(part)
             if out[0]:
                 yield hits_batch(*(np.concatenate(x) for x in out))
 
-    near = top(codes.select("vec_id", "code").mapInArrow(run, HITS), fetch)
-    if passages is None:
-        return near.select("query_id", "rank", "doc_id", "score")
+    return top(codes.select("vec_id", "code").mapInArrow(run, HITS), k).select("query_id", "rank", "doc_id", "score")
+
+
+def ranked_again(queries: DataFrame, near: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """The k best of near (query_id, doc_id) by the vectors themselves."""
     p = passages.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("_p"))
-    both = near.select("query_id", "doc_id").join(p, "doc_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    both = near.join(p, "doc_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:

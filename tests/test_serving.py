@@ -58,6 +58,23 @@ def test_codes(spark, vectors):
         ann.train_codebook(vectors, parts=5)
 
 
+def test_coarse_codes_miss_none_of_the_best(spark, vectors):
+    twin = vectors.where("vec_id = 7").select("embedding").first()[0]
+    copies = spark.createDataFrame([(1000 - i, twin) for i in range(60)], vectors.schema)
+    every = vectors.union(copies).union(spark.createDataFrame([(2000, None), (2001, [0.0] * 16)], vectors.schema)).repartition(3)
+    q = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
+    book = ann.train_codebook(every, parts=2, centroids=2)
+    e = ann.encoded(every, book)
+    want = {tuple(r) for r in V.dense(q, every, 10).select("query_id", "rank", "doc_id").collect()}
+    found = ann.code_search(q, e, book, every, 10)
+    assert {tuple(r) for r in found.select("query_id", "rank", "doc_id").collect()} == want
+    assert ann.code_search(q, e, book, every, 1000).count() == 40 * 660
+    assert ann.code_search(q.limit(0), e, book, every, 10).count() == 0
+    near = ann.near_codes(spark.sparkContext.broadcast(ann.sent_queries(q)), book, e, 10)
+    assert ann.twins_before(np.array([5, 2, 9, 1]), np.array([[1.0], [1.0], [1.0], [2.0]])).tolist() == [1, 0, 2, 0]
+    assert 400 <= near.count() < 0.1 * 40 * 660
+
+
 def test_centroids_are_means():
     x = np.concatenate([np.full((20, 2), 0.0), np.full((30, 2), 9.0)]) + np.random.default_rng(4).normal(size=(50, 2)) * 0.01
     c = ann.k_means(x, 2, 10, np.random.default_rng(0))
